@@ -190,3 +190,12 @@ SELECT customer_id, customer_unique_id, customer_state, customer_region, DAYS({A
 FROM s_customers JOIN base USING (customer_id) LEFT JOIN opening USING (customer_id) LEFT JOIN rv USING (customer_id)
 LEFT JOIN usual USING (customer_id) LEFT JOIN rhythm USING (customer_id) LEFT JOIN taste USING (customer_id)
 LEFT JOIN firsts USING (customer_id)""")
+
+relation("cohort_totals", """
+WITH g AS (
+    SELECT cohort_month, cohort_size, MSUM(cohort_revenue) AS total_cohort_revenue,
+        MAX(cumulative_revenue_per_customer) AS max_ltv, AVGR(cumulative_revenue_per_customer, 2) AS avg_ltv
+    FROM m_revenue_cohort GROUP BY 1, 2)
+SELECT g.*, CASE WHEN RND(DIV(total_cohort_revenue, cohort_size), 6) > t THEN 'Above Average'
+    ELSE 'Below Average' END AS performance_category
+FROM g, (SELECT AVGR(RND(DIV(total_cohort_revenue, cohort_size), 6), 6) AS t FROM g)""")

@@ -2,6 +2,7 @@
 
 from oracle import advanced, customer, financial, operational  # noqa: F401 - register relations
 from oracle.core import RELATIONS, statement
+from oracle.reports import REPORT_SQL
 from oracle.staging import STAGING
 
 
@@ -10,4 +11,6 @@ def statements() -> dict[str, str]:
     for name in RELATIONS:
         if name.startswith("m_"):
             out[f"mart_{name[2:]}"] = statement(f"SELECT * FROM {name}")
+    for name, sql in REPORT_SQL.items():
+        out[f"rpt_{name}"] = statement(sql)
     return out

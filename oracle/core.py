@@ -21,6 +21,11 @@ MACROS = {
     "ISUM": "CAST(SUM({0}) AS BIGINT)",
     "YES": "COUNT(*) FILTER (WHERE {0})",
     "RATE": "RND(COUNT(*) FILTER (WHERE {0}) * 100.0 / COUNT(*), 2)",
+    "AVGR": "RND(AVG({0}), {1})",
+    "TOT": "RND(MSUM({0}), 2)",
+    "MEAN": "RND(MAVG({0}), 2)",
+    "SHARE": "RND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 2)",
+    "TSHARE": "RND(MSUM({0}) * 100.0 / SUM(MSUM({0})) OVER (), 2)",
     "CORR2": "(covar_pop({0}, {1}) / NULLIF(stddev_pop({0}) * stddev_pop({1}), 0))",
 }
 _CALL = re.compile(r"\b(" + "|".join(MACROS) + r")\(")
