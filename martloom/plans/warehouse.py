@@ -28,7 +28,7 @@ class Warehouse:
         self.regions = raw["regions"] if "regions" in raw else staging.default_regions(spark)
         self._stored: dict[str, DataFrame] = {}
 
-    def _keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._stored:
             self._stored[name] = save_table(build(), f"{self.folder}/{name}")
         return self._stored[name]
@@ -53,7 +53,7 @@ class Warehouse:
         return plans[name]()
 
     def stg(self, name: str) -> DataFrame:
-        return self._keep(f"stg_{name}", lambda: self.staging_plan(name))
+        return self.keep(f"stg_{name}", lambda: self.staging_plan(name))
 
     # --- customer key --------------------------------------------------------------------
 
@@ -70,8 +70,8 @@ class Warehouse:
             return customers, orders
         if "people" not in self._stored:
             people, keyed = staging.by_person(customers, orders)
-            self._keep("people", lambda: people)
-            self._keep("keyed_orders", lambda: keyed)
+            self.keep("people", lambda: people)
+            self.keep("keyed_orders", lambda: keyed)
         return self._stored["people"], self._stored["keyed_orders"]
 
     # --- marts ---------------------------------------------------------------------------
@@ -84,4 +84,4 @@ class Warehouse:
 
     def mart(self, name: str) -> DataFrame:
         """The stored mart."""
-        return self._keep(f"mart_{name}", lambda: self.mart_plan(name))
+        return self.keep(f"mart_{name}", lambda: self.mart_plan(name))

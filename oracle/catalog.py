@@ -1,6 +1,7 @@
 """All oracle statements by query name."""
 
 from oracle import advanced, customer, financial, operational  # noqa: F401 - register relations
+from oracle.analysis import ANALYSIS_SQL
 from oracle.core import RELATIONS, statement
 from oracle.reports import REPORT_SQL
 from oracle.staging import STAGING
@@ -13,4 +14,6 @@ def statements() -> dict[str, str]:
             out[f"mart_{name[2:]}"] = statement(f"SELECT * FROM {name}")
     for name, sql in REPORT_SQL.items():
         out[f"rpt_{name}"] = statement(sql)
+    for name, sql in ANALYSIS_SQL.items():
+        out[name] = statement(sql)
     return out
