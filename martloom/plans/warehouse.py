@@ -27,12 +27,20 @@ class Warehouse:
         self.folder = folder or f"{shared_dir(spark)}/martloom-{uuid.uuid4().hex}"
         self.regions = raw["regions"] if "regions" in raw else staging.default_regions(spark)
         self._stored: dict[str, DataFrame] = {}
+        self._remembered: dict[str, object] = {}
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Writes a table on its first use and reads it from storage from then on."""
         if name not in self._stored:
             self._stored[name] = save_table(build(), f"{self.folder}/{name}")
         return self._stored[name]
 
+    def remember(self, name: str, build: Callable[[], object]) -> object:
+        """A result that is built once but is not a table, such as a fitted model."""
+        if name not in self._remembered:
+            self._remembered[name] = build()
+        return self._remembered[name]
+
     # --- staging -------------------------------------------------------------------------
 
     def staging_plan(self, name: str) -> DataFrame:

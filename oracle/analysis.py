@@ -1,6 +1,6 @@
 """Statements of the exploratory analyses, by query name."""
 
-from oracle.core import relation
+from oracle.core import AS_OF, relation
 
 relation("del_fact", """
 SELECT o.order_id, o.customer_id, customer_state, customer_city, order_purchase_timestamp, order_approved_at,
@@ -379,3 +379,50 @@ ANALYSIS_SQL = {
     "dq_orphan_customers": """SELECT 'orders.customer_id' AS relation, COUNT(*) AS child_rows,
         YES(customer_id NOT IN (SELECT customer_id FROM s_customers)) AS orphan_rows FROM s_orders""",
 }
+
+relation("churn_people", f"""
+SELECT customer_id, customer_state, customer_region, total_orders, total_revenue, avg_order_value, customer_lifespan_days,
+    first_purchase_date, last_purchase_date, DAYS({AS_OF}, last_purchase_date) AS recency,
+    DAYS({AS_OF}, first_purchase_date) AS tenure_days, strftime(first_purchase_date, '%Y-%m') AS purchase_year_month,
+    CASE WHEN month(first_purchase_date) IN (12, 1, 2) THEN 'Summer' WHEN month(first_purchase_date) <= 5 THEN 'Fall'
+         WHEN month(first_purchase_date) <= 8 THEN 'Winter' ELSE 'Spring' END AS purchase_season,
+    dayname(first_purchase_date) AS purchase_weekday,
+    CASE WHEN avg_order_value < 50 THEN 'Low (<50)' WHEN avg_order_value < 150 THEN 'Medium (50-150)'
+         WHEN avg_order_value < 300 THEN 'High (150-300)' ELSE 'Very High (>300)' END AS order_value_category,
+    CASE WHEN avg_order_value < total_revenue * CAST(0.9 AS DOUBLE) THEN 'Below Average'
+         WHEN avg_order_value > total_revenue * CAST(1.1 AS DOUBLE) THEN 'Above Average' ELSE 'Average' END AS value_vs_expected,
+    CASE WHEN DAYS({AS_OF}, last_purchase_date) > 180 THEN 1 ELSE 0 END AS is_churned
+FROM m_customer_ltv WHERE DAYS({AS_OF}, last_purchase_date) >= 0""")
+
+relation("churn_feats", """
+WITH s AS (SELECT RND(quantile_cont(total_revenue, 0.25), 6) AS q1, RND(quantile_cont(total_revenue, 0.75), 6) AS q3,
+    RND(AVG(total_revenue), 8) AS mv, RND(stddev_samp(total_revenue), 8) AS sv, RND(AVG(recency), 8) AS mr, RND(stddev_samp(recency), 8) AS sr
+    FROM churn_people)
+SELECT p.*, RND(ln(1 + recency), 6) AS recency_log, RND(sqrt(recency), 6) AS recency_sqrt,
+    CASE WHEN recency <= 30 THEN '0-30' WHEN recency <= 90 THEN '31-90' WHEN recency <= 180 THEN '91-180'
+         WHEN recency <= 365 THEN '181-365' ELSE '365+' END AS recency_binned,
+    RND(DIV(recency, 713), 6) AS time_churn_prob, RND(ln(1 + total_revenue), 6) AS revenue_log, RND(sqrt(total_revenue), 6) AS revenue_sqrt,
+    CASE WHEN total_revenue <= q1 THEN 'Low' WHEN total_revenue <= q3 THEN 'Medium' ELSE 'High' END AS value_segment,
+    CASE WHEN total_revenue > q3 THEN 1 ELSE 0 END AS is_high_value, CASE WHEN total_revenue < q1 THEN 1 ELSE 0 END AS is_low_value,
+    RND(total_revenue / (recency + 1), 6) AS value_per_day, year(first_purchase_date) AS purchase_year, month(first_purchase_date) AS purchase_month,
+    day(first_purchase_date) AS purchase_day, isodow(first_purchase_date) - 1 AS purchase_dayofweek, quarter(first_purchase_date) AS purchase_quarter,
+    RND(sin(2 * pi() * month(first_purchase_date) / 12), 6) AS purchase_month_sin, RND(cos(2 * pi() * month(first_purchase_date) / 12), 6) AS purchase_month_cos,
+    CASE WHEN isodow(first_purchase_date) >= 6 THEN 1 ELSE 0 END AS is_weekend_purchase,
+    CASE WHEN day(first_purchase_date) >= 25 THEN 1 ELSE 0 END AS is_month_end, 0 AS is_big_state, 0 AS is_southeast,
+    RND(total_revenue / (recency + 1), 6) AS value_time_ratio, RND(recency * total_revenue, 6) AS recency_value_interaction,
+    RND(DIV(total_revenue, avg_order_value + CAST(0.01 AS DOUBLE)), 6) AS value_aov_ratio, RND((total_revenue - mv) / sv, 6) AS revenue_zscore,
+    CASE WHEN abs((total_revenue - mv) / sv) > 3 THEN 1 ELSE 0 END AS is_revenue_outlier, RND((recency - mr) / sr, 6) AS recency_zscore
+FROM churn_people p, s""")
+
+ANALYSIS_SQL.update({
+    "churn_reference_dates": f"""SELECT CAST(MIN(first_purchase_date) AS DATE) AS min_purchase_date, CAST(MAX(last_purchase_date) AS DATE) AS max_purchase_date,
+        COUNT(DISTINCT customer_id) AS total_customers, """ + ", ".join(
+        f"AVGR(CASE WHEN DAYS({AS_OF}, last_purchase_date) > {d} THEN 1.0 ELSE 0.0 END, 6) AS churn_rate_{d}" for d in (90, 180, 365)) + " FROM m_customer_ltv",
+    "churn_single_purchase": "SELECT * FROM churn_people WHERE total_orders = 1",
+    "churn_features": "SELECT * FROM churn_feats",
+    "churn_class_balance": "SELECT is_churned, COUNT(*) AS customers, SHARE() AS pct FROM churn_people GROUP BY 1",
+    "churn_recency_crosstab": """SELECT bin AS recency_bin, RND(AVG(1.0 - is_churned), 3) AS share_kept, RND(AVG(is_churned), 3) AS share_lost
+        FROM (SELECT is_churned, CASE """ + " ".join(
+        f"WHEN recency <= {hi} THEN '({lo}, {hi}]'" for lo, hi in ((0, 30), (30, 60), (60, 90), (90, 120), (120, 150), (150, 180), (180, 365), (365, 713))
+    ) + " END AS bin FROM churn_people WHERE recency BETWEEN 1 AND 713) GROUP BY bin",
+})
