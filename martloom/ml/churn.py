@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from martloom.functions import bins, day_diff, lookup, ratio, rnd, season
 from martloom.functions.fixed import BIG_STATES, REGION_SHORT
-from martloom.operators.ranking import quantile_scalars
+from martloom.operators.ranking import literals, quantile_scalars
 from martloom.operators.storage import settled
 
 CANDIDATES = (
@@ -77,9 +77,9 @@ def churn_customers(
 def churn_features(customers: DataFrame) -> DataFrame:
     """Temporal, value, date, place, interaction and statistical features."""
     q25, q75 = quantile_scalars(customers, "total_revenue", [0.25, 0.75])
-    moments = settled(customers.agg(F.struct(*[
+    moments = literals(customers.agg(*[
         rnd(f(c), 8).alias(f"{n}_{c}") for c in ("total_revenue", "recency")
-        for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]).alias("m"))).scalar()
+        for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]))
     days, spent = F.col("recency"), F.col("total_revenue")
     first = F.to_date("first_purchase_date")
     month, weekday = F.month(first), F.weekday(first)
@@ -124,14 +124,17 @@ def churn_features(customers: DataFrame) -> DataFrame:
 def imputed(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """NULL numbers become the median, NULL texts the most frequent value."""
     fills = {}
+    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
     for c in columns:
+        if missing[c] == 0:
+            continue
         if c in TEXT:
             mode = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(
                 F.max_by(c, F.struct("n", c)).alias("v")).scalar()
             fills[c] = F.coalesce(F.col(c), mode, F.lit("Unknown"))
         else:
             fills[c] = F.coalesce(F.col(c).cast("double"), quantile_scalars(df, c, [0.5])[0])
-    return df.withColumns(fills)
+    return df.withColumns(fills) if fills else df
 
 
 def select_features(df: DataFrame, limit: float = 0.8) -> list[str]:
@@ -164,8 +167,7 @@ def split(df: DataFrame, test_part: int = 5) -> tuple[DataFrame, DataFrame]:
 
 def with_weights(train: DataFrame) -> DataFrame:
     """Weights that give both labels the same total."""
-    n = settled(train.agg(F.struct(F.count(F.lit(1)).alias("all"),
-                                   F.sum("is_churned").alias("pos")).alias("n"))).scalar()
+    n = literals(train.agg(F.count(F.lit(1)).alias("all"), F.sum("is_churned").alias("pos")))
     mine = F.when(F.col("is_churned") == 1, n["pos"]).otherwise(n["all"] - n["pos"])
     return train.withColumn("weight", n["all"] / (mine * 2.0))
 

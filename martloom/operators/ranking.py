@@ -143,10 +143,18 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], digits: int = 6
     )
 
 
+def literals(one_row: DataFrame) -> dict[str, Column]:
+    """The values of a one-row summary as literals, so that plans compare with constants."""
+    row = one_row.first()
+    return {
+        f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema
+    }
+
+
 def quantile_scalars(df: DataFrame, value: str, probs: Sequence[float]) -> list[Column]:
-    """The quantiles as scalar sub-queries, ready to be compared with a column."""
-    row = settled(quantiles(df, value, probs))
-    return [row.select(f"q{i}").scalar() for i in range(len(probs))]
+    """The quantiles as constants, ready to be compared with a column."""
+    found = literals(quantiles(df, value, probs))
+    return [found[f"q{i}"] for i in range(len(probs))]
 
 
 def share_of_total(c: Column | str, digits: int = 2) -> Column:

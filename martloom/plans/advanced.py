@@ -20,9 +20,8 @@ from martloom.functions import (
     ratio,
     rnd,
 )
-from martloom.operators.ranking import global_position, value_profile
+from martloom.operators.ranking import global_position, literals, value_profile
 from martloom.operators.sequence import most_frequent, sequence_within
-from martloom.operators.storage import settled
 from martloom.plans.common import completed, item_categories, order_payments, order_review
 
 
@@ -184,7 +183,7 @@ def mart_purchase_frequency(orders: DataFrame, payments: DataFrame, cfg: MartCon
         bins(n, [(1, "1x"), (2, "2x"), (5, "3-5x"), (10, "6-10x")], "11+").alias("frequency_bin"),
     )
     curve = value_profile(ranked.select("_c", F.col("_c").alias("v")), "_c", sums=["v"], descending=True)
-    totals = settled(ranked.agg(F.struct(F.sum("_c").alias("c"), F.count(F.lit(1)).alias("n")).alias("t"))).scalar()
+    totals = literals(ranked.agg(F.sum("_c").alias("c"), F.count(F.lit(1)).alias("n")))
     per_bin = ranked.groupBy("frequency_bin").agg(
         F.count(F.lit(1)).alias("bin_customer_count"),
         ratio(F.count(F.lit(1)) * 100.0, totals["n"]).alias("bin_pct_customers"),

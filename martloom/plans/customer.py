@@ -25,8 +25,7 @@ from martloom.functions import (
 )
 from martloom.functions.fixed import AGE_BINS, RFM_SEGMENT_CODES
 from martloom.operators.ranking import (
-    global_position,
-    ntile_of,
+    literals,
     quantile_scalars,
     share_of_total,
     value_profile,
@@ -524,7 +523,7 @@ def mart_churn_prediction(
     edges = features.agg(
         *[f(c).cast("double").alias(f"{n}_{c}") for c in scaled for n, f in (("lo", F.min), ("hi", F.max))]
     )
-    edges = settled(edges.select(F.struct(*edges.columns).alias("e"))).scalar()
+    edges = literals(edges)
 
     def spread(c: str) -> Column:
         low, high = edges[f"lo_{c}"], edges[f"hi_{c}"]

@@ -107,6 +107,7 @@ def star_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
         ((F.col("_pc") + F.col("_fc")) / 100.0).alias("payment_value"),
     )
     return {
+        "events": t("events").select("user_id", "ts"),
         "regions": places.select("state", "region"),
         "customers": customers,
         "sellers": sellers,

@@ -426,3 +426,54 @@ ANALYSIS_SQL.update({
         f"WHEN recency <= {hi} THEN '({lo}, {hi}]'" for lo, hi in ((0, 30), (30, 60), (60, 90), (90, 120), (120, 150), (150, 180), (180, 365), (365, 713))
     ) + " END AS bin FROM churn_people WHERE recency BETWEEN 1 AND 713) GROUP BY bin",
 })
+
+relation("raw_items", """
+SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id, l_suppkey AS seller_id,
+    l_shipdate AS shipping_limit_date, pc / 100.0 AS price, (pc * CAST(round(l_tax * 100) AS BIGINT) // 100) / 100.0 AS freight_value
+FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) // 500 AS pc FROM lineitem)""")
+
+ANALYSIS_SQL.update({
+    "prim_dedup": """SELECT * FROM raw_items QUALIFY row_number() OVER (PARTITION BY order_id, order_item_id
+        ORDER BY shipping_limit_date, product_id, seller_id, price, freight_value) = 1""",
+    "prim_top_value": "SELECT seller_id, last(product_id ORDER BY price, product_id) AS product_id FROM raw_items GROUP BY 1",
+    "prim_mode": """SELECT customer_id, last(payment_type ORDER BY n, payment_type) AS method FROM (
+        SELECT customer_id, payment_type, COUNT(*) AS n FROM s_payments JOIN s_orders USING (order_id) GROUP BY 1, 2) GROUP BY 1""",
+    "prim_distinct_count": "SELECT seller_id, COUNT(DISTINCT product_id) AS products FROM raw_items GROUP BY 1",
+    "prim_top_per_group": """SELECT customer_id, order_id, value FROM (SELECT order_id, MSUM(payment_value) AS value FROM s_payments GROUP BY 1)
+        JOIN s_orders USING (order_id) QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY value DESC, order_id) <= 3""",
+    "prim_positions": """SELECT order_id, row_number() OVER w AS position, ntile(5) OVER w AS quintile,
+        RND(row_number() OVER w * 100.0 / COUNT(*) OVER (), 6) AS pct
+        FROM (SELECT order_id, CENTS(payment_value) AS v FROM s_payments GROUP BY 1) WINDOW w AS (ORDER BY v DESC, order_id)""",
+    "prim_value_ranks": """SELECT DISTINCT payment_value, COUNT(*) OVER (PARTITION BY payment_value) AS payments,
+        dense_rank() OVER w AS dense_rank, RND(percent_rank() OVER w, 6) AS percent_rank,
+        SUM(CAST(round(payment_value * 100) AS BIGINT)) OVER w / 100.0 AS running_total FROM s_payments WINDOW w AS (ORDER BY payment_value)""",
+    "prim_quantiles": "SELECT " + ", ".join(
+        f"RND(quantile_cont(payment_value, {p}), 6) AS q{i}" for i, p in enumerate((0.5, 0.75, 0.9, 0.99))) + " FROM s_payments",
+    "prim_sequence": """SELECT customer_id, order_id, row_number() OVER w AS seq,
+        DAYS(order_purchase_timestamp, lag(order_purchase_timestamp) OVER w) AS gap FROM s_orders
+        WINDOW w AS (PARTITION BY customer_id ORDER BY order_purchase_timestamp, order_id)""",
+    "prim_correlation": "SELECT seller_id, RND(CORR2(price, freight_value), 6) AS price_freight, COUNT(*) AS items FROM s_order_items GROUP BY 1",
+    "prim_sequence_check": """SELECT COUNT(*) AS lines, YES(DAYS(l_shipdate, o_orderdate) < 0) AS early_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "prim_dates": f"""SELECT o_orderkey AS order_id, CAST(date_trunc('week', o_orderdate + INTERVAL 1 DAY) - INTERVAL 1 DAY AS DATE) AS week,
+        CAST(date_trunc('month', o_orderdate) AS DATE) AS month, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter,
+        dayname(o_orderdate) AS weekday, dayofweek(o_orderdate) + 1 AS day_number, CAST(CAST(o_orderdate AS DATE) - INTERVAL 3 MONTH AS DATE) AS three_months_back,
+        MONTHS({AS_OF}, o_orderdate) AS months_ago,
+        CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'Summer' WHEN month(o_orderdate) <= 5 THEN 'Fall' WHEN month(o_orderdate) <= 8 THEN 'Winter'
+             ELSE 'Spring' END AS season FROM orders""",
+    "prim_text": """SELECT c_custkey AS customer_id, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS title, lower(c_mktsegment) AS lower,
+        upper(c_mktsegment) AS upper, c_mktsegment[1:3] AS prefix, c_mktsegment || ' → ' || state AS route
+        FROM customer JOIN places ON c_nationkey = n_nationkey""",
+    "prim_numbers": """SELECT order_id, order_item_id, RND(ln(1 + price), 6) AS log1p, RND(sqrt(price), 6) AS sqrt, RND(sin(price), 6) AS sin,
+        RND(cos(price), 6) AS cos, RND(power(price, 2), 4) AS pow2, CAST(floor(price) AS BIGINT) AS floor, abs(freight_value - price) AS abs_gap,
+        GREATEST(price, freight_value) AS greatest FROM s_order_items""",
+    "prim_pivot": "SELECT payment_installments, " + ", ".join(
+        f"COUNT(*) FILTER (WHERE payment_type = '{k}') AS {k}" for k in ("boleto", "credit_card", "debit_card", "voucher")) + " FROM s_payments GROUP BY 1",
+    "prim_crosstab": "SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS month, " + ", ".join(
+        f"RND(DIV(COUNT(*) FILTER (WHERE order_status = '{k}'), COUNT(*)), 6) AS {k}" for k in ("canceled", "delivered", "invoiced")) + " FROM s_orders GROUP BY 1",
+    "prim_rolling": """SELECT month, orders, orders - lag(orders) OVER w AS change,
+        RND(AVG(orders) OVER (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean_3, CAST(SUM(orders) OVER w AS BIGINT) AS so_far
+        FROM (SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS month, COUNT(*) AS orders FROM s_orders GROUP BY 1) WINDOW w AS (ORDER BY month)""",
+    "prim_lookup": "SELECT customer_id, rfm_segment AS segment, 'Desconhecido' AS region FROM m_customer_rfm",
+    "prim_night_share": """SELECT user_id, COUNT(*) AS events, RND(AVG(CASE WHEN hour(ts) >= 20 OR hour(ts) < 6 THEN 1 ELSE 0 END) * 100, 2) AS pct_night,
+        RND(AVG(CASE WHEN dayofweek(ts) IN (0, 6) THEN 1 ELSE 0 END) * 100, 2) AS pct_weekend FROM events GROUP BY 1""",
+})
