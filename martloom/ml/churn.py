@@ -211,7 +211,7 @@ def prepare(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
     return fitted.transform(df).select(*keep), slots
 
 
-def train_models(features_df: DataFrame) -> ChurnModels:
+def train_models(features_df: DataFrame, trees: int = 100, rounds: int = 100) -> ChurnModels:
     """Random forest and boosted trees on the non-leaking features."""
     filled = settled(imputed(features_df, CANDIDATES))
     chosen = [c for c in select_features(filled) if c not in LEAKING]
@@ -220,10 +220,10 @@ def train_models(features_df: DataFrame) -> ChurnModels:
     train, test = split(data)
     train = with_weights(train)
     forest = RandomForestClassifier(
-        labelCol="is_churned", weightCol="weight", numTrees=100, maxDepth=10,
+        labelCol="is_churned", weightCol="weight", numTrees=trees, maxDepth=10,
         minInstancesPerNode=25, featureSubsetStrategy="sqrt", seed=SEED, cacheNodeIds=True)
     boosted = GBTClassifier(
-        labelCol="is_churned", weightCol="weight", maxIter=100, maxDepth=6, stepSize=0.1,
+        labelCol="is_churned", weightCol="weight", maxIter=rounds, maxDepth=6, stepSize=0.1,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED, cacheNodeIds=True)
     train = train.persist()
     try:

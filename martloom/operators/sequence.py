@@ -21,12 +21,15 @@ def heavy_keys(df: DataFrame, key: str, limit: int, tracked: int = 100) -> list:
 
 
 def sequence_within(
-    df: DataFrame, key: str, order: Sequence[str], previous: str, hot_rows: int
+    df: DataFrame, key: str, order: Sequence[str], previous: str, hot_rows: int,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``seq`` (1-based place in the key) and ``previous_<previous>`` (value one row before).
 
     ``order`` must end in a unique column. Usual keys take a plain window. Keys over ``hot_rows``
-    are range partitioned by their order instead, so their rows spread over many tasks.
+    are range partitioned by their order instead, so their rows spread over many tasks. Where
+    ``df`` is costly to compute, ``keys_from`` names a cheaper frame with the same keys to look
+    for hot ones in.
     """
     prev = f"previous_{previous}"
     window = Window.partitionBy(key).orderBy(*order)
@@ -36,7 +39,7 @@ def sequence_within(
             prev, F.lag(previous).over(window)
         )
 
-    hot = heavy_keys(df, key, hot_rows)
+    hot = heavy_keys(df if keys_from is None else keys_from, key, hot_rows)
     if not hot:
         return plain(df)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

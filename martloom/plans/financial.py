@@ -50,7 +50,8 @@ def mart_aov_analysis(
         .where("order_value > 0")
     )
     facts = sequence_within(
-        facts, "customer_id", ["order_purchase_timestamp", "order_id"], "order_id", cfg.hot_rows
+        facts, "customer_id", ["order_purchase_timestamp", "order_id"], "order_id", cfg.hot_rows,
+        keys_from=completed(orders),
     )
     value, bought = F.col("order_value"), F.col("order_purchase_timestamp")
     n = F.coalesce("items", F.lit(0))
