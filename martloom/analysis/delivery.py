@@ -11,7 +11,6 @@ from martloom.functions import (
 )
 from martloom.functions.fixed import REGION_ENGLISH
 from martloom.operators.ranking import quantile_scalars, share_of_total
-from martloom.plans.common import order_items_sum
 from martloom.reports.common import grouped, mean, rows, top, whole
 from martloom.sources.raw import metric_rows
 
@@ -22,15 +21,10 @@ STATUS = [(0, "On Time"), (5, "Slight Delay"), (15, "Moderate Delay")]
 def fact(w) -> DataFrame:
     """Delivered orders with delivery days, SLA status, review, freight and region."""
     arrived, promised = F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date")
-    review = w.stg("reviews").groupBy("order_id").agg(
-        F.max_by(F.struct("review_score", "review_comment_message"),
-                 F.struct("review_creation_date", "review_id")).alias("r"))
     freight, price = from_cents("freight_c"), from_cents("price_c")
     delay = day_diff(arrived, promised)
     return (
-        w.orders().where("order_status = 'delivered'").where(arrived.isNotNull() & promised.isNotNull())
-        .join(review, "order_id", "left")
-        .join(order_items_sum(w.stg("order_items")), "order_id", "left")
+        w.facts("orders").where("order_status = 'delivered'").where(arrived.isNotNull() & promised.isNotNull())
         .join(w.customers().select("customer_id", "customer_state", "customer_city", "customer_region"),
               "customer_id", "left")
         .select(
@@ -43,8 +37,7 @@ def fact(w) -> DataFrame:
             delay.alias("delay_days"),
             (delay <= 0).cast("int").alias("sla_compliant"),
             bins(delay, STATUS, "Severe Delay").alias("delivery_status"),
-            F.col("r.review_score").alias("review_score"),
-            F.col("r.review_comment_message").alias("review_comment_message"),
+            "review_score", "review_comment_message",
             freight.alias("freight_value"), price.alias("item_price"),
             ratio(freight, price).alias("freight_to_price_ratio"),
             # English names for the default geography; other region names stay as they are.

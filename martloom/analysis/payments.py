@@ -9,42 +9,32 @@ from pyspark.sql import functions as F
 
 from martloom.analysis.common import analysis
 from martloom.functions import (
-    day_diff, money_avg, money_sum, pearson, ratio, rnd,
+    day_diff, from_cents, money_avg, money_sum, pearson, ratio, rnd,
 )
 from martloom.operators.ranking import share_of_total
-from martloom.plans.common import order_review
 from martloom.reports.common import grouped, mean, rows
 
 NUMERIC = ("payment_installments", "payment_value", "aov", "review_score", "approval_days", "total_items")
 
 
-def payment_facts(w) -> DataFrame:
+def payment_measures(w) -> DataFrame:
     """One row per payment with its order's value, status, review and size; stored once."""
     def build():
-        paid = w.stg("payments")
-        value = paid.groupBy("order_id").agg(money_sum("payment_value").alias("aov"))
-        size = w.stg("order_items").groupBy("order_id").agg(rows().alias("total_items"))
-        orders = w.orders().select(
-            "order_id", "order_approved_at", "is_delivered",
-            day_diff("order_approved_at", "order_purchase_timestamp").alias("approval_days"))
-        return (
-            paid.join(orders, "order_id")
-            .join(value, "order_id")
-            .join(order_review(w.stg("reviews")), "order_id", "left")
-            .join(size, "order_id", "left")
-            .select(
-                "order_id", "payment_type", "payment_installments", "payment_value", "aov",
-                F.col("order_approved_at").isNotNull().cast("int").alias("approved"),
-                F.col("is_delivered").cast("int").alias("delivered"),
-                "review_score", "approval_days", F.coalesce("total_items", F.lit(0)).alias("total_items"))
-        )
-
-    return w.keep("payment_facts", build)
+        orders = w.facts("orders").select(
+            "order_id", from_cents("paid_c").alias("aov"),
+            F.col("order_approved_at").isNotNull().cast("int").alias("approved"),
+            F.col("is_delivered").cast("int").alias("delivered"), "review_score",
+            day_diff("order_approved_at", "order_purchase_timestamp").alias("approval_days"),
+            F.coalesce("items", F.lit(0)).alias("total_items"))
+        return w.facts("payments").select(
+            "order_id", "payment_type", "payment_installments", "payment_value").join(orders, "order_id")
+
+    return w.keep("payment_measures", build)
 
 
 @analysis("pay_method_summary")
 def method_summary(w):
-    g = grouped(payment_facts(w), ["payment_type"], order_count=rows(),
+    g = grouped(payment_measures(w), ["payment_type"], order_count=rows(),
                 avg_payment_value=rnd(money_avg("payment_value"), 3),
                 total_payment_value=money_sum("payment_value"),
                 avg_installments=mean("payment_installments", 3), avg_aov=rnd(money_avg("aov"), 3),
@@ -57,7 +47,7 @@ def method_summary(w):
 @analysis("pay_funnel")
 def funnel(w):
     """Share of payments that reach approval and delivery, and where the others stop."""
-    g = grouped(payment_facts(w), ["payment_type"], orders=rows(), approved=F.sum("approved"),
+    g = grouped(payment_measures(w), ["payment_type"], orders=rows(), approved=F.sum("approved"),
                 delivered=F.sum("delivered"))
     delivered = rnd(ratio("delivered", "orders"), 3)
     return g.select(
@@ -69,7 +59,7 @@ def funnel(w):
 
 @analysis("pay_installments")
 def installments(w):
-    return grouped(payment_facts(w), ["payment_installments"], order_count=rows(),
+    return grouped(payment_measures(w), ["payment_installments"], order_count=rows(),
                    payment_value=rnd(money_avg("payment_value"), 3), aov=rnd(money_avg("aov"), 3),
                    approved=mean("approved", 3), review_score=mean("review_score", 3)
                    ).orderBy("payment_installments")
@@ -79,7 +69,7 @@ def installments(w):
 def correlations(w):
     """Pearson correlation of each pair of measures, every pair over its complete rows."""
     pairs = list(combinations_with_replacement(NUMERIC, 2))
-    row = payment_facts(w).agg(*[rnd(pearson(a, b), 6).alias(f"{a}|{b}") for a, b in pairs])
+    row = payment_measures(w).agg(*[rnd(pearson(a, b), 6).alias(f"{a}|{b}") for a, b in pairs])
     cells = [F.struct(F.lit(a).alias("measure"), F.lit(b).alias("other"), F.col(f"{a}|{b}").alias("correlation"))
              for a, b in pairs]
     return row.select(F.inline(F.array(*cells)))

@@ -39,8 +39,7 @@ def top_value(w):
 
 @analysis("prim_mode")
 def mode(w):
-    owned = w.stg("payments").join(w.orders().select("order_id", "customer_id"), "order_id")
-    return most_frequent(owned, "customer_id", "payment_type", "method")
+    return most_frequent(w.facts("payments"), "customer_id", "payment_type", "method")
 
 
 @analysis("prim_distinct_count")

@@ -119,8 +119,8 @@ def high_risk(w):
 def propensity_scores(w):
     """The propensity mart with its churn columns filled from the model."""
     return mart_propensity_scores(
-        w.customers(), w.orders(), w.stg("payments"), w.stg("reviews"), w.stg("order_items"),
-        w.stg("products"), w.cfg, churn=scores(w))
+        w.customers(), w.facts("orders"), w.facts("items"), w.facts("payments"), w.cfg,
+        churn=scores(w))
 
 
 @model_query("cluster_elbow")

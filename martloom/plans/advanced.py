@@ -10,35 +10,27 @@ from martloom.functions import (
     as_timestamp,
     at_least,
     bins,
-    cents,
     day_diff,
     from_cents,
     money_avg,
-    money_sum,
     month_diff,
-    month_start,
     ratio,
     rnd,
 )
 from martloom.operators.ranking import global_position, literals, value_profile
 from martloom.operators.sequence import most_frequent, sequence_within
-from martloom.plans.common import completed, item_categories, order_payments, order_review
+from martloom.plans.common import categorised, completed
+from martloom.plans.customer import customer_months
 
 
 
-def mart_revenue_cohort(orders: DataFrame, payments: DataFrame) -> DataFrame:
+def mart_revenue_cohort(facts: DataFrame) -> DataFrame:
     """Revenue per cohort and month since the cohort's first purchase."""
-    done = completed(orders)
-    first = done.groupBy("customer_id").agg(
-        month_start(F.min("order_purchase_timestamp")).alias("cohort")
-    )
-    sizes = first.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"))
-    monthly = (
-        done.join(order_payments(payments), "order_id")
-        .groupBy("customer_id", month_start("order_purchase_timestamp").alias("month"))
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("payments").alias("payments"),
-             F.sum("paid_c").alias("paid_c"))
-        .join(first, "customer_id")
+    months = customer_months(facts)
+    # A customer is in the first month of the cohort exactly once.
+    sizes = months.where("order_month = cohort").groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"))
+    monthly = months.where("paid_orders > 0").select(
+        "cohort", F.col("order_month").alias("month"), F.col("paid_orders").alias("orders"), "payments", "paid_c"
     )
     revenue = from_cents(F.sum("paid_c"))
     cells = (
@@ -84,24 +76,15 @@ def mart_revenue_cohort(orders: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
-def mart_payment_cohort(orders: DataFrame, payments: DataFrame, cfg: MartConfig) -> DataFrame:
+def mart_payment_cohort(facts: DataFrame, payments: DataFrame, cfg: MartConfig) -> DataFrame:
     """Customers by the method of their first payment, and how their methods change."""
-    paid = payments.groupBy("order_id").agg(
-        F.min(F.struct("payment_sequential", "payment_type", "payment_installments",
-                       "payment_value")).alias("opening"),
-        F.count(F.lit(1)).alias("payments"),
-        F.sum(cents("payment_value")).alias("paid_c"),
-        F.max("payment_value").alias("max_payment"),
-        F.sum("payment_installments").alias("installments"),
-        F.max("payment_installments").alias("max_installments"),
-    )
-    done = completed(orders).select("order_id", "customer_id", "order_purchase_timestamp")
     bought = F.col("order_purchase_timestamp")
     per_customer = (
-        done.join(paid, "order_id")
+        completed(facts).where("paid_c is not null")
         .groupBy("customer_id")
         .agg(
-            F.min(F.struct("order_purchase_timestamp", "order_id", "opening")).alias("first"),
+            F.min(F.struct("order_purchase_timestamp", "order_id", "opening_method",
+                           "opening_installments", "opening_value")).alias("first"),
             F.count(F.lit(1)).alias("n"),
             F.sum("payments").alias("payments"),
             from_cents(F.sum("paid_c")).alias("total_revenue"),
@@ -113,29 +96,28 @@ def mart_payment_cohort(orders: DataFrame, payments: DataFrame, cfg: MartConfig)
     )
     # One row per customer and payment type.
     types = (
-        payments.groupBy("order_id", "payment_type")
+        completed(payments)
+        .groupBy("customer_id", "payment_type", "order_id")
         .agg(F.count(F.lit(1)).alias("uses"))
-        .join(done.select("order_id", "customer_id"), "order_id")
         .groupBy("customer_id", "payment_type")
         .agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("orders"))
     )
-    openings = per_customer.select("customer_id", F.col("first.opening.payment_type").alias("first_type"))
+    openings = per_customer.select("customer_id", F.col("first.opening_method").alias("first_type"))
     habits = types.join(openings, "customer_id").groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("kinds"),
         F.max_by("payment_type", F.struct("uses", "payment_type")).alias("usual"),
         F.max(F.when(F.col("payment_type") == F.col("first_type"), F.col("orders"))).alias("loyal_orders"),
     )
     n, kinds = F.col("n"), F.col("kinds")
-    start, opening = F.col("first.order_purchase_timestamp"), F.col("first.opening")
-    first_type, usual = opening["payment_type"], F.col("usual")
+    start, first_type, usual = F.col("first.order_purchase_timestamp"), F.col("first.opening_method"), F.col("usual")
     moved = (n > 1) & (kinds > 1)
     revenue = F.col("total_revenue")
     return per_customer.join(habits, "customer_id").select(
         "customer_id",
         start.alias("first_purchase_date"),
         first_type.alias("cohort_payment"),
-        opening["payment_installments"].alias("first_payment_installments"),
-        opening["payment_value"].alias("first_purchase_value"),
+        F.col("first.opening_installments").alias("first_payment_installments"),
+        F.col("first.opening_value").alias("first_purchase_value"),
         n.alias("total_orders"),
         kinds.alias("unique_payment_methods_used"),
         F.when(n > 1, ratio("loyal_orders", n)).otherwise(1.0).alias("payment_method_consistency"),
@@ -161,12 +143,11 @@ def mart_payment_cohort(orders: DataFrame, payments: DataFrame, cfg: MartConfig)
     )
 
 
-def mart_purchase_frequency(orders: DataFrame, payments: DataFrame, cfg: MartConfig) -> DataFrame:
+def mart_purchase_frequency(facts: DataFrame, cfg: MartConfig) -> DataFrame:
     """Customers by number of purchases, with their place on the revenue (Pareto) curve."""
     bought = F.col("order_purchase_timestamp")
     people = (
-        completed(orders)
-        .join(order_payments(payments), "order_id")
+        completed(facts).where("paid_c is not null")
         .groupBy("customer_id")
         .agg(
             F.count(F.lit(1)).alias("num_orders"),
@@ -284,10 +265,10 @@ def mart_nps_cohort(reviews: DataFrame, orders: DataFrame, base: DataFrame) -> D
     )
 
 
-def purchase_rhythm(orders: DataFrame, cfg: MartConfig) -> DataFrame:
+def purchase_rhythm(facts: DataFrame, cfg: MartConfig) -> DataFrame:
     """Interval, trend and delivery figures over each customer's delivered orders."""
     arrived, bought = F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp")
-    delivered = completed(orders).where(arrived.isNotNull()).select(
+    delivered = completed(facts).where(arrived.isNotNull()).select(
         "customer_id", "order_id", "order_purchase_timestamp", "order_delivered_customer_date",
         "order_estimated_delivery_date",
     )
@@ -317,32 +298,18 @@ def purchase_rhythm(orders: DataFrame, cfg: MartConfig) -> DataFrame:
 
 
 def mart_propensity_scores(
-    customers: DataFrame, orders: DataFrame, payments: DataFrame, reviews: DataFrame,
-    items: DataFrame, products: DataFrame, cfg: MartConfig, churn: DataFrame | None = None,
+    customers: DataFrame, facts: DataFrame, items: DataFrame, payments: DataFrame, cfg: MartConfig,
+    churn: DataFrame | None = None,
 ) -> DataFrame:
     """Feature table for propensity models; pass ``churn`` (customer_id, churn_probability) to
     fill the score columns, which are NULL otherwise."""
-    done = completed(orders).select(
-        "order_id", "customer_id", "order_purchase_timestamp", "order_delivered_customer_date"
-    )
-    owner = done.select("order_id", "customer_id")
-    paid = payments.groupBy("order_id").agg(
-        F.sum(cents("payment_value")).alias("paid_c"),
-        F.count(F.lit(1)).alias("payments"),
-        F.sum("payment_installments").alias("installments"),
-        F.min(F.struct("payment_sequential", "payment_type"))["payment_type"].alias("opening_type"),
-    )
+    bought = F.col("order_purchase_timestamp")
     first_item = (
-        item_categories(items, products)
+        items.where(F.col("category").isNotNull())
         .groupBy("order_id")
         .agg(F.min(F.struct("order_item_id", "category"))["category"].alias("opening_category"))
     )
-    bought = F.col("order_purchase_timestamp")
-    per_order = (
-        done.join(paid, "order_id")
-        .join(order_review(reviews), "order_id", "left")
-        .join(first_item, "order_id", "left")
-    )
+    per_order = completed(facts).where("paid_c is not null").join(first_item, "order_id", "left")
     place = F.struct("order_purchase_timestamp", "order_id")
     itemised = F.when(F.col("opening_category").isNotNull(), place)
     base = per_order.groupBy("customer_id").agg(
@@ -356,43 +323,37 @@ def mart_propensity_scores(
         F.min_by("opening_category", itemised).alias("first_purchase_category"),
         F.min_by(day_diff("order_delivered_customer_date", bought), itemised).alias("first_order_delivery_days"),
         F.min_by("review_score", itemised).alias("first_order_review_score"),
-        F.min_by("opening_type", itemised).alias("first_payment_method"),
+        F.min_by("opening_method", itemised).alias("first_payment_method"),
     )
-    # All paid orders placed at the very first moment (two orders can share it).
-    opening = (
-        done.groupBy("customer_id")
-        .agg(F.min(bought).alias("_first"))
-        .join(done.select("customer_id", "order_id", "order_purchase_timestamp"), "customer_id")
-        .where(bought == F.col("_first"))
-        .join(paid.select("order_id", "paid_c"), "order_id")
-        .groupBy("customer_id")
-        .agg(from_cents(F.sum("paid_c")).alias("first_purchase_value"))
+    # Customers per moment first: the orders of the first moment (two can share it) are then one row.
+    moments = completed(facts).groupBy("customer_id", "order_purchase_timestamp").agg(
+        F.sum("paid_c").alias("paid_c"), F.count(F.lit(1)).alias("n"))
+    opening = moments.groupBy("customer_id").agg(
+        from_cents(F.coalesce(F.min(F.struct("order_purchase_timestamp", "paid_c"))["paid_c"], F.lit(0)))
+        .alias("first_purchase_value"),
+        F.sum("n").alias("_orders"),
     )
-    methods = most_frequent(payments.join(owner, "order_id"), "customer_id", "payment_type",
-                            "preferred_payment_method")
-    lines = item_categories(items, products).join(owner, "order_id")
+    methods = most_frequent(completed(payments), "customer_id", "payment_type", "preferred_payment_method")
     per_category = (
-        lines.groupBy("customer_id", "category", "order_id")
+        categorised(items)
+        .groupBy("customer_id", "category", "order_id")
         .agg(F.count(F.lit(1)).alias("lines"))
         .groupBy("customer_id", "category")
         .agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("orders"))
     )
-    order_counts = done.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_orders"))
-    taste = per_category.join(order_counts, "customer_id").groupBy("customer_id").agg(
+    taste = per_category.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("unique_categories_purchased"),
         # Bounded by the number of product categories.
         F.sort_array(F.collect_set("category")).alias("purchased_categories"),
         F.max_by("category", F.struct("lines", "category")).alias("top_category"),
-        rnd(F.try_divide(F.sum(F.col("orders") * F.col("orders")).cast("double"),
-                         (F.first("_orders") * F.first("_orders")).cast("double")), 6)
-        .alias("category_concentration_index"),
+        F.sum(F.col("orders") * F.col("orders")).alias("_squares"),
     )
     joined = (
         customers.select("customer_id", "customer_unique_id", "customer_state", "customer_region")
         .join(base, "customer_id")
         .join(opening, "customer_id", "left")
         .join(methods, "customer_id", "left")
-        .join(purchase_rhythm(orders, cfg), "customer_id", "left")
+        .join(purchase_rhythm(facts, cfg), "customer_id", "left")
         .join(taste, "customer_id", "left")
     )
     unknown = F.lit(None).cast("double")
@@ -416,7 +377,8 @@ def mart_propensity_scores(
         "avg_review_score", "total_reviews", "preferred_payment_method", "avg_installments",
         "avg_days_between_purchases", "purchase_trend_correlation", "avg_delivery_days",
         "delayed_orders", "total_orders_for_metrics", "unique_categories_purchased",
-        "purchased_categories", "top_category", "category_concentration_index",
+        "purchased_categories", "top_category",
+        rnd(ratio("_squares", F.col("_orders") * F.col("_orders")), 6).alias("category_concentration_index"),
         "first_purchase_category", "first_order_delivery_days", "first_order_review_score",
         "first_payment_method",
         F.coalesce("first_purchase_value", F.lit(0.0)).alias("first_purchase_value"),

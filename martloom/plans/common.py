@@ -1,7 +1,10 @@
-"""Frames that several marts share: completed orders and the per-order sums of child tables.
+"""Fact tables that the marts share. Each is stored once; no mart joins payments, reviews or items
+to orders again.
 
-Every child table is reduced to one row per order before it meets another child, so no join
-multiplies rows and the customer-level shuffle carries order rows, not payment or item rows.
+* order facts: one row per order with the sums of its payments, reviews and items. Every child is
+  reduced to one row per order before the join, so no child multiplies another.
+* item facts: one row per item with its order's customer and time and its product's category.
+* payment facts: one row per payment with its order's customer and status.
 """
 
 from __future__ import annotations
@@ -12,41 +15,75 @@ from pyspark.sql import functions as F
 from martloom.functions import cents
 
 
-def completed(orders: DataFrame) -> DataFrame:
-    return orders.where("is_completed")
+def completed(facts: DataFrame) -> DataFrame:
+    return facts.where("is_completed")
 
 
-def order_payments(payments: DataFrame) -> DataFrame:
-    """Payment sums per order; ``largest`` holds the value and type of the largest payment."""
-    return payments.groupBy("order_id").agg(
+def order_facts(
+    orders: DataFrame, payments: DataFrame, reviews: DataFrame, items: DataFrame
+) -> DataFrame:
+    """Payment, review and item columns are NULL for orders without such rows."""
+    opening = F.min(F.struct("payment_sequential", "payment_type", "payment_installments", "payment_value"))
+    paid = payments.groupBy("order_id").agg(
         F.sum(cents("payment_value")).alias("paid_c"),
         F.count(F.lit(1)).alias("payments"),
         F.max("payment_value").alias("max_payment"),
         F.min("payment_value").alias("min_payment"),
-        F.max(F.struct("payment_value", "payment_type")).alias("largest"),
+        F.max(F.struct("payment_value", "payment_type"))["payment_type"].alias("primary_method"),
         F.sum("payment_installments").alias("installments"),
         F.max("payment_installments").alias("max_installments"),
+        # At most one entry per payment type.
+        F.sort_array(F.collect_set("payment_type")).alias("payment_methods"),
+        F.count_if("is_credit_card").alias("credit_card_payments"),
+        F.count_if("is_boleto").alias("boleto_payments"),
+        opening.alias("opening"),
     )
-
-
-def order_review(reviews: DataFrame) -> DataFrame:
-    """The latest review of each order."""
-    return reviews.groupBy("order_id").agg(
-        F.max_by("review_score", F.struct("review_creation_date", "review_id")).alias("review_score")
+    latest = F.struct("review_creation_date", "review_id")
+    reviewed = reviews.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("reviews"),
+        F.sum("review_score").alias("score"),
+        F.count_if("has_comment").alias("commented"),
+        F.count_if(F.col("review_score") >= 4).alias("positive"),
+        F.count_if(F.col("review_score") <= 2).alias("negative"),
+        F.max_by("review_score", latest).alias("review_score"),
+        F.max_by("review_comment_message", latest).alias("review_comment_message"),
     )
-
-
-def order_items_sum(items: DataFrame) -> DataFrame:
-    return items.groupBy("order_id").agg(
+    bought = items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("items"),
         F.sum(cents("price")).alias("price_c"),
         F.sum(cents("freight_value")).alias("freight_c"),
+        F.count_distinct("product_id").alias("products"),
+        F.max(F.struct("price", "seller_id"))["seller_id"].alias("main_seller_id"),
+    )
+    return (
+        orders.join(paid, "order_id", "left")
+        .join(reviewed, "order_id", "left")
+        .join(bought, "order_id", "left")
+        .withColumns({
+            "opening_method": F.col("opening.payment_type"),
+            "opening_installments": F.col("opening.payment_installments"),
+            "opening_value": F.col("opening.payment_value"),
+        })
+        .drop("opening")
     )
 
 
-def item_categories(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Items with their English category name; items without a known product drop out."""
-    return items.join(
-        products.select("product_id", F.col("product_category_name_english").alias("category")),
-        "product_id",
+def item_facts(items: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
+    """``category`` is NULL for a product that is not known."""
+    return (
+        items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
+        .join(orders.select("order_id", "customer_id", "order_purchase_timestamp", "is_completed"), "order_id")
+        .join(products.select("product_id", F.col("product_category_name_english").alias("category")),
+              "product_id", "left")
     )
+
+
+def payment_facts(payments: DataFrame, orders: DataFrame) -> DataFrame:
+    return payments.select(
+        "order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"
+    ).join(orders.select("order_id", "customer_id", "is_completed", "is_canceled"), "order_id")
+
+
+def categorised(items: DataFrame) -> DataFrame:
+    """Completed items of known categories."""
+    return completed(items).where(F.col("category").isNotNull())

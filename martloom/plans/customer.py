@@ -31,15 +31,10 @@ from martloom.operators.ranking import (
     value_profile,
     with_ntile,
 )
-from martloom.operators.sequence import distinct_count, most_frequent, sequence_within
+from martloom.operators.sequence import most_frequent, sequence_within
 from martloom.operators.storage import settled
-from martloom.plans.common import (
-    completed,
-    item_categories,
-    order_items_sum,
-    order_payments,
-    order_review,
-)
+from martloom.plans.common import categorised, completed
+
 
 
 def _is_late() -> Column:
@@ -47,23 +42,13 @@ def _is_late() -> Column:
 
 
 def mart_customer_base(
-    customers: DataFrame, orders: DataFrame, payments: DataFrame, reviews: DataFrame,
-    items: DataFrame, cfg: MartConfig,
+    customers: DataFrame, facts: DataFrame, items: DataFrame, cfg: MartConfig
 ) -> DataFrame:
-    """One row per customer with orders: purchases, payments, reviews, delivery, items, flags."""
-    paid = order_payments(payments)
-    reviewed = reviews.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("reviews"),
-        F.sum("review_score").alias("score"),
-        F.count_if("has_comment").alias("commented"),
-        F.count_if(F.col("review_score") >= 4).alias("positive"),
-        F.count_if(F.col("review_score") <= 2).alias("negative"),
-    )
-    facts = (
-        orders.join(paid, "order_id", "left")
-        .join(reviewed, "order_id", "left")
-        .join(order_items_sum(items), "order_id", "left")
-    )
+    """One row per customer with orders: purchases, payments, reviews, delivery, items, flags.
+
+    Facts and customers meet after each side has one row per customer, so a customer with very
+    many orders is never a join key that repeats.
+    """
     arrived = F.col("order_delivered_customer_date")
     late_days = F.when(_is_late(), day_diff(arrived, "order_estimated_delivery_date")).otherwise(0)
     per_customer = facts.groupBy("customer_id").agg(
@@ -76,7 +61,7 @@ def mart_customer_base(
         F.sum("payments").alias("n_payments"),
         F.max("max_payment").alias("max_order_value"),
         F.min("min_payment").alias("min_order_value"),
-        F.max("largest")["payment_type"].alias("preferred_payment_method"),
+        F.max(F.struct("max_payment", "primary_method"))["primary_method"].alias("preferred_payment_method"),
         F.sum("installments").alias("installments"),
         F.sum("reviews").alias("total_reviews"),
         F.sum("score").alias("score"),
@@ -86,18 +71,17 @@ def mart_customer_base(
         F.avg(day_diff(arrived, "order_purchase_timestamp")).alias("avg_delivery_days"),
         F.count_if(_is_late()).alias("delayed_orders"),
         F.avg(F.when(arrived.isNotNull(), late_days)).alias("avg_delay_days"),
-        F.sum("items").alias("total_items_purchased"),
-        from_cents(F.sum("price_c")).alias("spent_on_items"),
-        from_cents(F.sum("freight_c")).alias("freight"),
-    )
-    bought = items.join(orders.select("order_id", "customer_id"), "order_id").select(
-        "customer_id", "product_id", "seller_id"
     )
-    joined = (
-        customers.join(per_customer, "customer_id")
-        .join(distinct_count(bought, "customer_id", "product_id", "products"), "customer_id", "left")
-        .join(distinct_count(bought, "customer_id", "seller_id", "sellers"), "customer_id", "left")
+    # Both distinct counts in one pass: Spark first reduces to (customer, product) and
+    # (customer, seller) rows, which also spreads a large customer.
+    bought = items.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("total_items_purchased"),
+        from_cents(F.sum(cents("price"))).alias("spent_on_items"),
+        from_cents(F.sum(cents("freight_value"))).alias("freight"),
+        F.count_distinct("product_id").alias("products"),
+        F.count_distinct("seller_id").alias("sellers"),
     )
+    joined = customers.join(per_customer, "customer_id").join(bought, "customer_id", "left")
 
     def zero(c: Column | str) -> Column:
         return F.coalesce(as_col(c), F.lit(0))
@@ -177,13 +161,10 @@ def mart_customer_rfm(base: DataFrame, cfg: MartConfig) -> DataFrame:
     )
 
 
-def mart_customer_ltv(
-    customers: DataFrame, orders: DataFrame, payments: DataFrame, cfg: MartConfig
-) -> DataFrame:
+def mart_customer_ltv(customers: DataFrame, facts: DataFrame, cfg: MartConfig) -> DataFrame:
     """Lifetime value per customer with the figures of the customer's state."""
     per_customer = (
-        completed(orders)
-        .join(order_payments(payments), "order_id", "left")
+        completed(facts)
         .groupBy("customer_id")
         .agg(
             F.min("order_purchase_timestamp").alias("first_purchase_date"),
@@ -237,20 +218,17 @@ def mart_customer_ltv(
     )
 
 
-def customer_months(orders: DataFrame, payments: DataFrame, payments_required: bool) -> DataFrame:
+def customer_months(facts: DataFrame) -> DataFrame:
     """Completed purchases per customer and month, with the customer's first month.
 
     Cohort questions only need this grain: a customer has at most one row per calendar month,
     however many orders there are, so the window per customer stays short.
     """
-    how = "inner" if payments_required else "left"
     monthly = (
-        completed(orders)
-        .join(order_payments(payments), "order_id", how)
+        completed(facts)
         .groupBy("customer_id", month_start("order_purchase_timestamp").alias("order_month"))
         .agg(
             F.min("order_purchase_timestamp").alias("first_ts"),
-            F.count(F.lit(1)).alias("orders"),
             F.count("paid_c").alias("paid_orders"),
             F.sum("paid_c").alias("paid_c"),
             F.sum("payments").alias("payments"),
@@ -262,8 +240,8 @@ def customer_months(orders: DataFrame, payments: DataFrame, payments_required: b
     )
 
 
-def mart_customer_cohort_retention(orders: DataFrame, payments: DataFrame) -> DataFrame:
-    months = customer_months(orders, payments, payments_required=False).withColumn(
+def mart_customer_cohort_retention(facts: DataFrame) -> DataFrame:
+    months = customer_months(facts).withColumn(
         "months_since_first_purchase", month_diff("order_month", "cohort")
     )
     matrix = months.groupBy("cohort", "months_since_first_purchase").agg(
@@ -296,22 +274,19 @@ def mart_customer_cohort_retention(orders: DataFrame, payments: DataFrame) -> Da
 
 
 def mart_customer_segments(
-    base: DataFrame, rfm: DataFrame, ltv: DataFrame, delivery: DataFrame, orders: DataFrame,
-    items: DataFrame, products: DataFrame, payments: DataFrame,
+    base: DataFrame, rfm: DataFrame, ltv: DataFrame, delivery: DataFrame, facts: DataFrame,
+    items: DataFrame, payments: DataFrame,
 ) -> DataFrame:
     """Behavioural features per customer and one named segment, first match wins."""
-    done = completed(orders)
-    owner = done.select("order_id", "customer_id")
     hour = F.hour("order_purchase_timestamp")
-    timing = done.groupBy("customer_id").agg(
+    timing = completed(facts).groupBy("customer_id").agg(
         rate_where(F.dayofweek("order_purchase_timestamp").isin(1, 7)).alias("pct_weekend_shopper"),
         rate_where((hour >= 20) | (hour < 6)).alias("pct_night_shopper"),
     )
     categories = (
-        item_categories(items, products)
-        .groupBy("order_id", "category")
+        categorised(items)
+        .groupBy("customer_id", "order_id", "category")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(owner, "order_id")
         .groupBy("customer_id", "category")
         .agg(F.max("n").alias("n"))
         .groupBy("customer_id")
@@ -321,9 +296,9 @@ def mart_customer_segments(
         )
     )
     paying = (
-        payments.groupBy("order_id", "payment_type")
+        completed(payments)
+        .groupBy("customer_id", "order_id", "payment_type")
         .agg(F.avg("payment_installments").alias("avg_inst"), F.count(F.lit(1)).alias("n"))
-        .join(owner, "order_id")
         .groupBy("customer_id")
         .agg(
             F.max_by("payment_type", F.struct("n", "payment_type")).alias("method"),
@@ -435,10 +410,10 @@ def mart_customer_age(base: DataFrame, cfg: MartConfig) -> DataFrame:
     )
 
 
-def purchase_gaps(orders: DataFrame, cfg: MartConfig) -> DataFrame:
+def purchase_gaps(facts: DataFrame, cfg: MartConfig) -> DataFrame:
     """Mean and sample deviation of the days between consecutive purchases of a customer."""
     ordered = sequence_within(
-        orders.select("customer_id", "order_id", "order_purchase_timestamp"),
+        completed(facts).select("customer_id", "order_id", "order_purchase_timestamp"),
         "customer_id", ["order_purchase_timestamp", "order_id"], "order_purchase_timestamp",
         cfg.hot_rows,
     )
@@ -456,19 +431,15 @@ def purchase_gaps(orders: DataFrame, cfg: MartConfig) -> DataFrame:
 
 
 def mart_churn_prediction(
-    orders: DataFrame, payments: DataFrame, reviews: DataFrame, items: DataFrame,
-    products: DataFrame, customers: DataFrame, rfm: DataFrame, cfg: MartConfig,
+    facts: DataFrame, items: DataFrame, payments: DataFrame, customers: DataFrame, rfm: DataFrame,
+    cfg: MartConfig,
 ) -> DataFrame:
     """Churn label, 0-100 feature scores and a weighted risk per customer."""
-    done = completed(orders)
-    owner = done.select("order_id", "customer_id")
     delay = F.coalesce(
         day_diff("order_delivered_customer_date", "order_estimated_delivery_date"), F.lit(0)
     )
     summary = (
-        done.join(order_payments(payments), "order_id", "left")
-        .join(order_review(reviews), "order_id", "left")
-        .join(order_items_sum(items), "order_id", "left")
+        completed(facts)
         .groupBy("customer_id")
         .agg(
             F.to_date(F.min("order_purchase_timestamp")).alias("first_purchase_date"),
@@ -484,21 +455,20 @@ def mart_churn_prediction(
             F.count("freight_c").alias("shipped_orders"),
         )
     )
-    bought = item_categories(items, products).join(owner, "order_id").select("customer_id", "category")
-    per_category = bought.groupBy("customer_id", "category").agg(F.count(F.lit(1)).alias("n"))
-    taste = per_category.where(F.col("category").isNotNull()).groupBy("customer_id").agg(
+    per_category = categorised(items).groupBy("customer_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    taste = per_category.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("categories"),
         F.max_by("category", F.struct("n", "category")).alias("preferred_category"),
     )
     methods = most_frequent(
-        payments.join(owner, "order_id"), "customer_id", "payment_type", "preferred_payment_method"
+        completed(payments), "customer_id", "payment_type", "preferred_payment_method"
     )
     features = settled(
         summary.join(customers.select("customer_id", "customer_state", "customer_region"),
                      "customer_id", "left")
         .join(methods, "customer_id", "left")
         .join(taste, "customer_id", "left")
-        .join(purchase_gaps(done, cfg), "customer_id", "left")
+        .join(purchase_gaps(facts, cfg), "customer_id", "left")
         .join(rfm.select("customer_id", "rfm_segment", "rfm_score"), "customer_id", "left")
         .select(
             "customer_id", "customer_state", "customer_region",

@@ -9,10 +9,8 @@ from martloom.config import MartConfig
 from martloom.functions import (
     as_timestamp,
     at_least,
-    bins,
     cents,
     from_cents,
-    lookup,
     money_avg,
     money_sum,
     month_start,
@@ -24,41 +22,23 @@ from martloom.functions import (
     week_start,
 )
 from martloom.operators.ranking import share_of_total
-from martloom.operators.sequence import distinct_count, sequence_within
-from martloom.plans.common import completed, order_items_sum, order_payments
+from martloom.operators.sequence import sequence_within
+from martloom.plans.common import completed
 
 
-def mart_aov_analysis(
-    orders: DataFrame, payments: DataFrame, items: DataFrame, customers: DataFrame, cfg: MartConfig
-) -> DataFrame:
+def mart_aov_analysis(facts: DataFrame, customers: DataFrame, cfg: MartConfig) -> DataFrame:
     """One row per completed, paid order: value, size, freight and payment segments."""
-    paid = order_payments(payments)
-    kinds = payments.groupBy("order_id").agg(
-        # At most one entry per payment type.
-        F.sort_array(F.collect_set("payment_type")).alias("payment_methods_used"),
-        F.count_if("is_credit_card").alias("credit_card_payments"),
-        F.count_if("is_boleto").alias("boleto_payments"),
-    )
-    facts = (
-        completed(orders)
-        .select("order_id", "customer_id", "order_purchase_timestamp")
-        .join(paid.select("order_id", from_cents("paid_c").alias("order_value"), "max_installments"),
-              "order_id")
-        .join(kinds, "order_id")
-        .join(order_items_sum(items), "order_id", "left")
-        .join(distinct_count(items, "order_id", "product_id", "products"), "order_id", "left")
-        .where("order_value > 0")
-    )
-    facts = sequence_within(
-        facts, "customer_id", ["order_purchase_timestamp", "order_id"], "order_id", cfg.hot_rows,
-        keys_from=completed(orders),
+    paid = completed(facts).where("paid_c > 0").withColumn("order_value", from_cents("paid_c"))
+    numbered = sequence_within(
+        paid, "customer_id", ["order_purchase_timestamp", "order_id"], "order_id", cfg.hot_rows,
+        keys_from=completed(facts),
     )
     value, bought = F.col("order_value"), F.col("order_purchase_timestamp")
     n = F.coalesce("items", F.lit(0))
     freight = from_cents("freight_c")
     freight_ratio = ratio(freight, value)
-    methods, parts = F.col("payment_methods_used"), F.col("max_installments")
-    return facts.join(
+    methods, parts = F.col("payment_methods"), F.col("max_installments")
+    return numbered.join(
         customers.select("customer_id", "customer_state", "customer_city"), "customer_id", "left"
     ).select(
         "order_id", "customer_id", "customer_state", "customer_city", "order_value",
@@ -83,7 +63,7 @@ def mart_aov_analysis(
         as_timestamp(week_start(bought)).alias("order_week"),
         F.year(bought).alias("order_year"),
         F.quarter(bought).alias("order_quarter"),
-        "payment_methods_used", "max_installments", "credit_card_payments", "boleto_payments",
+        methods.alias("payment_methods_used"), "max_installments", "credit_card_payments", "boleto_payments",
         (value > 1000).cast("int").alias("is_high_value_order"),
         (n > 5).cast("int").alias("is_high_item_count_order"),
         F.coalesce(freight_ratio > 0.3, F.lit(False)).cast("int").alias("has_high_freight_ratio"),
@@ -141,27 +121,25 @@ def mart_geographic_performance(ltv: DataFrame) -> DataFrame:
     )
 
 
-def mart_revenue_summary(orders: DataFrame, payments: DataFrame) -> DataFrame:
+def mart_revenue_summary(facts: DataFrame) -> DataFrame:
     """Revenue by day, week and month, split into first-month and later revenue.
 
     Orders are first reduced to one row per customer and day. Each grain then adds up its own
-    (customer, period) rows, so that counting customers is counting rows.
+    (customer, period) rows, so that counting customers is counting rows. A customer has at most
+    one row per calendar day, which bounds the window that finds the first month.
     """
     daily = (
-        completed(orders)
-        .join(order_payments(payments), "order_id")
+        completed(facts)
         .groupBy("customer_id", F.to_date("order_purchase_timestamp").alias("day"))
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("payments").alias("payments"),
+        .agg(F.count("paid_c").alias("orders"), F.sum("payments").alias("payments"),
              F.sum("paid_c").alias("paid_c"))
     )
-    # The cohort counts unpaid completed orders too.
-    first = completed(orders).groupBy("customer_id").agg(
-        month_start(F.min("order_purchase_timestamp")).alias("cohort")
-    )
-    facts = daily.join(first, "customer_id").withColumn("is_new", month_start("day") == F.col("cohort"))
+    first_day = F.min("day").over(Window.partitionBy("customer_id"))
+    # The first month counts unpaid completed orders too; the revenue rows do not.
+    rows = daily.withColumn("is_new", month_start("day") == month_start(first_day)).where("orders > 0")
 
     def grain(label: str, period: Column) -> DataFrame:
-        per_customer = facts.groupBy("customer_id", period.alias("revenue_date")).agg(
+        per_customer = rows.groupBy("customer_id", period.alias("revenue_date")).agg(
             F.sum("orders").alias("orders"),
             F.sum("payments").alias("payments"),
             F.sum("paid_c").alias("paid_c"),
@@ -225,17 +203,14 @@ def mart_revenue_summary(orders: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
-def mart_unit_economics(
-    ltv: DataFrame, rfm: DataFrame, orders: DataFrame, items: DataFrame, cfg: MartConfig
-) -> DataFrame:
+def mart_unit_economics(ltv: DataFrame, rfm: DataFrame, items: DataFrame, cfg: MartConfig) -> DataFrame:
     """Value, margin and payback per RFM segment, state, region and acquisition quarter.
 
     Each customer row is repeated once per segmentation and everything is added up in one
     aggregation, so the customer table is read once.
     """
-    owner = completed(orders).select("order_id", "customer_id")
     economics = (
-        items.join(owner, "order_id")
+        completed(items)
         .groupBy("customer_id")
         .agg(
             F.sum(cents("price")).alias("gross_c"),

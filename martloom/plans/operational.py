@@ -25,25 +25,20 @@ from martloom.functions import (
 from martloom.operators.ranking import share_of_total, value_profile
 from martloom.operators.sequence import distinct_count, top_per_group
 from martloom.operators.storage import settled
-from martloom.plans.common import completed, item_categories, order_review
+from martloom.plans.common import categorised, completed
 
 INSTALLMENT_BINS = [(1, 1, "1x"), (2, 3, "2-3x"), (4, 6, "4-6x"), (7, 12, "7-12x"),
                     (13, float("inf"), "13+x")]
 
 
-def mart_category_performance(items: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per product category.
+def mart_category_performance(items: DataFrame) -> DataFrame:
+    """One row per product category, from the item facts.
 
     Items become (category, order) rows first. From those, (category, customer) rows answer the
     questions about buyers and (category, day) rows those about time, so every distinct count is
     a count of rows and a large category is spread over its orders, customers or days.
     """
-    buyer = completed(orders).select("order_id", "customer_id", "order_purchase_timestamp")
-    sold = (
-        item_categories(items, products)
-        .where(F.col("category").isNotNull())
-        .join(buyer, "order_id")
-    )
+    sold = categorised(items)
     margin = ratio(F.col("price") - F.col("freight_value"), "price")
     per_order = sold.groupBy("category", "order_id", "customer_id", "order_purchase_timestamp").agg(
         F.count(F.lit(1)).alias("units"),
@@ -126,22 +121,15 @@ def mart_category_performance(items: DataFrame, products: DataFrame, orders: Dat
     )
 
 
-def mart_delivery_performance(
-    orders: DataFrame, customers: DataFrame, items: DataFrame, sellers: DataFrame,
-    reviews: DataFrame,
-) -> DataFrame:
+def mart_delivery_performance(facts: DataFrame, customers: DataFrame, sellers: DataFrame) -> DataFrame:
     """One row per delivered order with its main seller (dearest item) and latest review."""
     arrived, promised = F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date")
     bought, carrier = F.col("order_purchase_timestamp"), F.col("order_delivered_carrier_date")
     actual, estimated = day_diff(arrived, bought), day_diff(promised, bought)
-    main_item = items.groupBy("order_id").agg(
-        F.max(F.struct("price", "seller_id"))["seller_id"].alias("seller_id"),
-        money_sum("freight_value").alias("freight_value"),
-    )
     joined = (
-        orders.where(arrived.isNotNull() & promised.isNotNull())
-        .join(main_item, "order_id")
-        .join(order_review(reviews), "order_id", "left")
+        facts.where(arrived.isNotNull() & promised.isNotNull() & F.col("main_seller_id").isNotNull())
+        .withColumn("seller_id", F.col("main_seller_id"))
+        .withColumn("freight_value", from_cents("freight_c"))
         .join(customers.select("customer_id", "customer_state", "customer_city",
                                "customer_zip_code_prefix"), "customer_id")
         .join(sellers.select("seller_id", "seller_state", "seller_city", "seller_zip_code_prefix"),
@@ -175,26 +163,24 @@ def mart_delivery_performance(
     )
 
 
-def paid_orders(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    """Orders with their primary payment method, total, and installment bin."""
-    per_order = payments.groupBy("order_id").agg(
-        F.max(F.struct("payment_value", "payment_type"))["payment_type"].alias("payment_method_primary"),
-        money_sum("payment_value").alias("total_payment"),
-        F.count_distinct("payment_type").alias("methods"),
-        F.avg("payment_installments").alias("avg_installments"),
-        F.max("payment_installments").alias("max_installments"),
-    )
-    return orders.select("order_id", "is_completed", "is_canceled").join(per_order, "order_id").select(
-        "*",
-        (F.col("methods") > 1).alias("has_multiple_payment_methods"),
+def paid_orders(facts: DataFrame) -> DataFrame:
+    """Paid orders with their primary payment method, total, and installment bin."""
+    average = ratio("installments", "payments")
+    return facts.where("paid_c is not null").select(
+        "order_id", "is_completed", "is_canceled",
+        F.col("primary_method").alias("payment_method_primary"),
+        from_cents("paid_c").alias("total_payment"),
+        average.alias("avg_installments"),
+        "max_installments",
+        (F.size("payment_methods") > 1).alias("has_multiple_payment_methods"),
         # Averages such as 1.5 or 3.5 lie between two bins.
-        ranges("avg_installments", INSTALLMENT_BINS, "Unknown").alias("installment_bin"),
+        ranges(average, INSTALLMENT_BINS, "Unknown").alias("installment_bin"),
     )
 
 
-def mart_payment_analysis(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    facts = paid_orders(payments, orders)
-    methods = facts.groupBy("payment_method_primary").agg(
+def mart_payment_analysis(facts: DataFrame) -> DataFrame:
+    """One row per primary payment method."""
+    methods = paid_orders(facts).groupBy("payment_method_primary").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.count_if("is_completed").alias("successful_orders"),
         F.count_if("is_canceled").alias("canceled_orders"),
@@ -218,9 +204,9 @@ def mart_payment_analysis(payments: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def installment_analysis(payments: DataFrame, orders: DataFrame) -> DataFrame:
+def installment_analysis(facts: DataFrame) -> DataFrame:
     """Orders, value and conversion per bin of the order's average installments."""
-    return paid_orders(payments, orders).groupBy("installment_bin").agg(
+    return paid_orders(facts).groupBy("installment_bin").agg(
         F.count(F.lit(1)).alias("total_orders"),
         rnd(money_avg("total_payment")).alias("avg_aov"),
         rnd(money_sum("total_payment")).alias("total_revenue"),
@@ -228,9 +214,9 @@ def installment_analysis(payments: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def mart_repeat_purchase(orders: DataFrame, cfg: MartConfig) -> DataFrame:
+def mart_repeat_purchase(facts: DataFrame, cfg: MartConfig) -> DataFrame:
     """First and second purchase per customer and the time between them."""
-    done = completed(orders).select("customer_id", "order_id", "order_purchase_timestamp")
+    done = completed(facts).select("customer_id", "order_id", "order_purchase_timestamp")
     # Only the first two orders of a customer leave the map side.
     early = top_per_group(
         done, ["customer_id"], ["order_purchase_timestamp", "order_id"], 2
@@ -270,12 +256,10 @@ def mart_repeat_purchase(orders: DataFrame, cfg: MartConfig) -> DataFrame:
 
 
 def mart_seller_performance(
-    items: DataFrame, orders: DataFrame, products: DataFrame, reviews: DataFrame,
-    sellers: DataFrame, delivery: DataFrame,
+    items: DataFrame, facts: DataFrame, sellers: DataFrame, delivery: DataFrame
 ) -> DataFrame:
     """One row per seller: sales, categories, reviews, punctuality, revenue share and tier."""
-    done = completed(orders).select("order_id", "order_purchase_timestamp")
-    sold = items.join(done, "order_id")
+    sold = completed(items)
     per_order = sold.groupBy("seller_id", "order_id", "order_purchase_timestamp").agg(
         F.count(F.lit(1)).alias("units"),
         F.sum(cents("price")).alias("price_c"),
@@ -306,8 +290,7 @@ def mart_seller_performance(
         F.count(F.lit(1)).alias("seller_active_months"),
     )
     categories = (
-        item_categories(sold, products)
-        .where(F.col("category").isNotNull())
+        categorised(items)
         .groupBy("seller_id", "category")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("seller_id")
@@ -315,12 +298,8 @@ def mart_seller_performance(
              F.max_by("category", F.struct("n", "category")).alias("primary_category"))
     )
     lines = items.groupBy("seller_id", "order_id").agg(F.count(F.lit(1)).alias("lines"))
-    scores = reviews.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("reviews"),
-        F.sum("review_score").alias("score"),
-        F.count_if(F.col("review_score") >= 4).alias("good"),
-        F.count_if(F.col("review_score") <= 2).alias("bad"),
-    )
+    scores = facts.where("reviews is not null").select(
+        "order_id", "reviews", "score", F.col("positive").alias("good"), F.col("negative").alias("bad"))
 
     def per_line(c: str) -> Column:
         return F.sum(F.col("lines") * F.col(c))

@@ -1,6 +1,6 @@
-"""The three layers as stored tables: raw, staging, marts.
+"""The layers as stored tables: raw, staging, facts, marts.
 
-Each staged table and each mart that another table reads is written once to the shared folder
+Each staged table, each fact table and each mart that another table reads is written once to the shared folder
 and read back, as a scheduled rebuild of the layers would do. The order of the work follows from
 which tables a mart asks for.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martloom.config import MartConfig
 from martloom.operators.storage import shared_dir
-from martloom.plans import staging
+from martloom.plans import common, staging
 from martloom.sources.raw import save_table
 
 
@@ -82,6 +82,21 @@ class Warehouse:
             self.keep("keyed_orders", lambda: keyed)
         return self._stored["people"], self._stored["keyed_orders"]
 
+    # --- facts ---------------------------------------------------------------------------
+
+    def facts(self, name: str) -> DataFrame:
+        """Order, item or payment facts, keyed by the configured customer."""
+        plans: dict[str, Callable[[], DataFrame]] = {
+            "orders": lambda: common.order_facts(
+                self.orders(), self.stg("payments"), self.stg("reviews"), self.stg("order_items")
+            ),
+            "items": lambda: common.item_facts(
+                self.stg("order_items"), self.orders(), self.stg("products")
+            ),
+            "payments": lambda: common.payment_facts(self.stg("payments"), self.orders()),
+        }
+        return self.keep(f"fact_{name}", plans[name])
+
     # --- marts ---------------------------------------------------------------------------
 
     def mart_plan(self, name: str) -> DataFrame:

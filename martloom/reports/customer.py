@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martloom.functions import cents, from_cents, lookup, pct, rate_where, ratio, rnd, to_long
+from martloom.functions import cents, from_cents, lookup, pct, ratio, rnd, to_long
 from martloom.functions.fixed import AGE_BINS, RFM_ACTIONS, RFM_DEFAULT_ACTION
 from martloom.operators.ranking import share_of_total, value_profile
 from martloom.operators.sequence import top_per_group

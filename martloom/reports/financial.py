@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from martloom.functions import at_least, bins, money_sum, pearson, rnd
 from martloom.reports.common import (
-    by_label, grouped, mean, money_mean, rate, report, rows, top, total, whole, with_share,
+    by_label, grouped, mean, money_mean, report, rows, top, total, whole, with_share,
 )
 
 # --- aov_analysis ------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from martloom.functions import at_least, bins, money_avg, money_sum, pct, ranges, rate_where, ratio, rnd
+from martloom.functions import at_least, bins, money_sum, pct, ranges, ratio, rnd
 from martloom.plans.operational import INSTALLMENT_BINS
 from martloom.reports.common import (
     by_label, grouped, mean, money_mean, rate, report, rows, top, total, whole, with_share,
@@ -212,7 +212,7 @@ def methods_mixed(m, w):
 def installment_bins(m, w):
     """From the payment rows: an order counts once in each of its bins."""
     label = ranges("payment_installments", INSTALLMENT_BINS, None)
-    binned = w.stg("payments").join(w.orders().select("order_id", "is_completed"), "order_id").select(
+    binned = w.facts("payments").select(
         label.alias("installment_bin"), "order_id", "payment_value", "is_completed")
     per_order = binned.where("installment_bin is not null").groupBy("installment_bin", "order_id").agg(
         rows().alias("n"), F.count_if("is_completed").alias("done"),
