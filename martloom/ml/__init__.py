@@ -26,8 +26,12 @@ def _features(w):
     return w.keep("churn_features", lambda: churn.churn_features(_population(w)))
 
 
+def _data(w) -> churn.ChurnData:
+    return w.remember("churn_data", lambda: churn.training_data(_features(w)))
+
+
 def _models(w) -> churn.ChurnModels:
-    return w.remember("churn_models", lambda: churn.train_models(_features(w)))
+    return w.remember("churn_models", lambda: churn.train_models(_data(w)))
 
 
 def _best(w) -> str:
@@ -82,7 +86,7 @@ def selected_features(w):
 
 @model_query("churn_split")
 def split_summary(w):
-    return churn.split_summary(_models(w))
+    return churn.split_summary(_data(w))
 
 
 @model_query("churn_model_results")

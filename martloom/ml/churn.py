@@ -173,12 +173,18 @@ def with_weights(train: DataFrame) -> DataFrame:
 
 
 @dataclass
-class ChurnModels:
+class ChurnData:
+    """Encoded customers and their division into training and test part."""
+
     features: list[str]
     slots: list[str]
     prepared: DataFrame
     train: DataFrame
     test: DataFrame
+
+
+@dataclass
+class ChurnModels(ChurnData):
     models: dict[str, object]
 
     def predicted(self, name: str, df: DataFrame | None = None) -> DataFrame:
@@ -211,26 +217,30 @@ def prepare(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
     return fitted.transform(df).select(*keep), slots
 
 
-def train_models(features_df: DataFrame, trees: int = 100, rounds: int = 100) -> ChurnModels:
-    """Random forest and boosted trees on the non-leaking features."""
+def training_data(features_df: DataFrame) -> ChurnData:
+    """Imputed, selected and encoded features without the ones that give the label away."""
     filled = settled(imputed(features_df, CANDIDATES))
     chosen = [c for c in select_features(filled) if c not in LEAKING]
     data, slots = prepare(filled, chosen)
     data = settled(data)
     train, test = split(data)
-    train = with_weights(train)
+    return ChurnData(chosen, slots, data, with_weights(train), test)
+
+
+def train_models(data: ChurnData, trees: int = 100, rounds: int = 100) -> ChurnModels:
+    """Random forest and boosted trees."""
     forest = RandomForestClassifier(
         labelCol="is_churned", weightCol="weight", numTrees=trees, maxDepth=10,
         minInstancesPerNode=25, featureSubsetStrategy="sqrt", seed=SEED, cacheNodeIds=True)
     boosted = GBTClassifier(
         labelCol="is_churned", weightCol="weight", maxIter=rounds, maxDepth=6, stepSize=0.1,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED, cacheNodeIds=True)
-    train = train.persist()
+    train = data.train.persist()
     try:
         models = {"Random Forest": forest.fit(train), "Boosted Trees": boosted.fit(train)}
     finally:
         train.unpersist()
-    return ChurnModels(chosen, slots, data, train, test, models)
+    return ChurnModels(**vars(data), models=models)
 
 
 def class_balance(df: DataFrame) -> DataFrame:
@@ -252,7 +262,7 @@ def recency_crosstab(df: DataFrame) -> DataFrame:
                     rnd(ratio(lost, kept + lost), 3).alias("share_lost"))
 
 
-def split_summary(m: ChurnModels) -> DataFrame:
+def split_summary(m: ChurnData) -> DataFrame:
     def part(df, name):
         return df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("customers"),
                       rnd(F.avg("is_churned"), 4).alias("churn_rate"))

@@ -276,9 +276,10 @@ def purchase_rhythm(facts: DataFrame, cfg: MartConfig) -> DataFrame:
         delivered, "customer_id", ["order_purchase_timestamp", "order_id"],
         "order_purchase_timestamp", cfg.hot_rows,
     )
-    first = delivered.groupBy("customer_id").agg(F.min("order_purchase_timestamp").alias("_first"))
-    x, y = F.col("seq"), day_diff(bought, "_first")
-    sums = ordered.join(first, "customer_id").groupBy("customer_id").agg(
+    # Days are counted from one fixed day, not from the customer's first order: a correlation does
+    # not change with the origin, and no join is needed to find one.
+    x, y = F.col("seq"), day_diff(bought, cfg.today)
+    sums = ordered.groupBy("customer_id").agg(
         F.avg(day_diff(bought, "previous_order_purchase_timestamp")).alias("avg_days_between_purchases"),
         F.avg(day_diff(arrived, bought)).alias("avg_delivery_days"),
         F.count_if(arrived > F.col("order_estimated_delivery_date")).alias("delayed_orders"),

@@ -202,7 +202,8 @@ def mart_customer_ltv(customers: DataFrame, facts: DataFrame, cfg: MartConfig) -
         rnd(F.avg("avg_order_value")).alias("avg_aov_state"),
         rate_where(F.col("is_repeat_customer")).alias("repurchase_rate_state"),
     )
-    # One row per state: windows over it are small, and so is the broadcast.
+    # One row per state: windows over it are small. The join is left to the size-checked choice
+    # between broadcast and shuffle.
     states = states.withColumn(
         "revenue_concentration_pct", share_of_total("total_revenue_state")
     ).withColumn(
@@ -211,7 +212,7 @@ def mart_customer_ltv(customers: DataFrame, facts: DataFrame, cfg: MartConfig) -
     ).withColumn(
         "state_ltv_rank", F.dense_rank().over(Window.orderBy(F.col("avg_ltv_state").desc()))
     )
-    return measured.join(F.broadcast(states), place).select(
+    return measured.join(states, place).select(
         *measured.columns, "total_customers_state", "avg_ltv_state", "median_ltv_state",
         "total_revenue_state", "avg_aov_state", "repurchase_rate_state",
         "revenue_concentration_pct", "customer_density_proxy", "state_ltv_rank",

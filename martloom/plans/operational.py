@@ -34,13 +34,13 @@ INSTALLMENT_BINS = [(1, 1, "1x"), (2, 3, "2-3x"), (4, 6, "4-6x"), (7, 12, "7-12x
 def mart_category_performance(items: DataFrame) -> DataFrame:
     """One row per product category, from the item facts.
 
-    Items become (category, order) rows first. From those, (category, customer) rows answer the
-    questions about buyers and (category, day) rows those about time, so every distinct count is
-    a count of rows and a large category is spread over its orders, customers or days.
+    (category, order) and then (category, customer) rows answer the questions about buyers,
+    (category, day) rows those about time: every distinct count is a count of rows, and a large
+    category is spread over its orders, customers or days.
     """
     sold = categorised(items)
     margin = ratio(F.col("price") - F.col("freight_value"), "price")
-    per_order = sold.groupBy("category", "order_id", "customer_id", "order_purchase_timestamp").agg(
+    per_order = sold.groupBy("category", "order_id", "customer_id").agg(
         F.count(F.lit(1)).alias("units"),
         F.sum(cents("price")).alias("price_c"),
         F.sum(cents("freight_value")).alias("freight_c"),
@@ -76,8 +76,8 @@ def mart_category_performance(items: DataFrame) -> DataFrame:
         F.count_if(F.col("_categories") > 1).alias("cross_category_customers"),
         rate_where(F.col("_categories") > 1).alias("cross_category_rate"),
     )
-    days = per_order.groupBy("category", F.to_date("order_purchase_timestamp").alias("day")).agg(
-        F.sum("price_c").alias("price_c"),
+    days = sold.groupBy("category", F.to_date("order_purchase_timestamp").alias("day")).agg(
+        F.sum(cents("price")).alias("price_c"),
         F.min("order_purchase_timestamp").alias("first_ts"),
         F.max("order_purchase_timestamp").alias("last_ts"),
     )

@@ -13,7 +13,7 @@ def people(layers):
 
 @pytest.fixture(scope="module")
 def models(people):
-    return churn.train_models(people, trees=5, rounds=3)
+    return churn.train_models(churn.training_data(people), trees=5, rounds=3)
 
 
 def test_label_is_a_recency_threshold(people):
