@@ -94,6 +94,9 @@ def main() -> int:
             problem = f"{type(e).__name__}: {str(e)[:1500]}"
         bad += problem is not None
         kind = "" if name in oracle else " (rows only)"
+        empty = problem is None and name in oracle and not con.execute(
+            f"SELECT count(*) FROM ({oracle[name]})").fetchall()[0][0]
+        kind += " (empty)" if empty else ""
         print(f"{'ok  ' if problem is None else 'BAD '} {name}{kind} {time.time() - start:.1f}s"
               + (f"\n     {problem}" if problem else ""), flush=True)
     print(f"{bad} different")
