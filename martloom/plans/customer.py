@@ -519,9 +519,11 @@ def mart_churn_prediction(
     # As a decimal, so that equal risks are ties and .5 rounds up whatever the float noise.
     scored = settled(scored.withColumn("_risk", risk.cast("decimal(18,8)")))
     profile = value_profile(scored.select("_risk"), "_risk")
-    rows = scored.agg(F.count("_risk").alias("n")).scalar()
+    # Customers without a risk (nothing paid) sort first, so they rank 0 and precede all others.
+    size = literals(scored.agg(F.count(F.lit(1)).alias("n"), F.count("_risk").alias("known")))
+    unknown = size["n"] - size["known"]
     ranked = profile.select(
-        "_risk", ratio((F.col("cum_n") - F.col("n")), rows - 1).alias("_percentile")
+        "_risk", ratio(unknown + F.col("cum_n") - F.col("n"), size["n"] - 1).alias("_percentile")
     )
     return scored.join(ranked, "_risk", "left").select(
         "customer_id", "customer_state", "customer_region", "days_since_last_purchase",

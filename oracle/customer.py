@@ -264,7 +264,7 @@ relation("m_churn_prediction", f"""
 SELECT * EXCLUDE (risk), LNG(risk) AS churn_risk_score,
     CASE WHEN is_churned THEN 'Churned' WHEN risk >= 70 THEN 'High Risk'
          WHEN risk >= 40 THEN 'Medium Risk' ELSE 'Low Risk' END AS churn_risk_segment,
-    RND(percent_rank() OVER (ORDER BY risk) * 100, 2) AS churn_risk_percentile_pct
+    RND(percent_rank() OVER (ORDER BY risk NULLS FIRST) * 100, 2) AS churn_risk_percentile_pct
 FROM (SELECT *, CAST((100 - recency_score) * 0.40 + (100 - frequency_score) * 0.25
             + (100 - monetary_score) * 0.15 + pct_delayed_orders * 100 * 0.10
             + (100 - review_score_normalized) * 0.10 AS DECIMAL(18,8)) AS risk

@@ -65,6 +65,21 @@ def test_children_do_not_multiply_each_other(small):
     assert (propensity.monetary, propensity.first_purchase_value, propensity.total_reviews) == (80.0, 60.0, 2)
 
 
+def test_customers_without_a_risk_rank_first(spark):
+    tables = {
+        "customers": raw(spark, "customers", [(c, c, 2000, "x", "SP") for c in ("a", "b", "c")]),
+        "products": raw(spark, "products", []), "category_translation": raw(spark, "category_translation", []),
+        "orders": raw(spark, "orders", [order("o1", 0, 1, 2, 3, 9, customer="a"), order("o2", 100, 101, 102, 103, 150, customer="b"),
+                                        order("o3", 50, 51, 52, 53, 90, customer="c")]),
+        "payments": raw(spark, "payments", [("o1", 1, "boleto", 1, 10.0), ("o2", 1, "boleto", 1, 20.0)]),
+        "reviews": raw(spark, "reviews", []), "order_items": raw(spark, "order_items", []),
+    }
+    # One order each, so the frequency score and with it every risk is NULL.
+    rows = by(Warehouse(spark, tables, CFG).mart("churn_prediction"), "customer_id")
+    assert {r.churn_risk_percentile_pct for r in rows.values()} == {0.0}
+    assert all(r.churn_risk_score is None and r.frequency_score is None for r in rows.values())
+
+
 def test_one_delivery_row_per_order_with_the_latest_review(small):
     rows = by(small.mart("delivery_performance"), "order_id")
     assert set(rows) == {"o1", "o2"}
