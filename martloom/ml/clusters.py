@@ -10,7 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martloom.functions import money_sum, ratio, rnd
+from martloom.functions import approx_median, money_sum, ratio, rnd
 from martloom.functions.fixed import CLUSTER_RECOMMENDATIONS
 from martloom.operators.storage import settled
 
@@ -64,10 +64,10 @@ def profiles(clustered: DataFrame, naming: ClusterNaming = ClusterNaming()) -> D
     g = clustered.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("num_customers"),
         rnd(ratio(money_sum("total_revenue"), F.count(F.lit(1)))).alias("total_revenue_mean"),
-        rnd(F.percentile_approx("total_revenue", 0.5)).alias("total_revenue_median"),
+        rnd(approx_median("total_revenue")).alias("total_revenue_median"),
         rnd(money_sum("total_revenue")).alias("total_revenue_sum"),
         *[rnd(F.avg(c)).alias(f"{c}_mean") for c in means],
-        F.percentile_approx("total_orders", 0.5).alias("total_orders_median"),
+        approx_median("total_orders").alias("total_orders_median"),
         rnd(F.avg("is_repeat_customer"), 4).alias("is_repeat_customer_mean"),
     )
     valuable = F.col("total_revenue_mean") >= typical * naming.value_factor

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from martloom.config import MartConfig
 from martloom.functions import (
+    approx_median,
     as_col,
     bins,
     cents,
@@ -197,7 +198,7 @@ def mart_customer_ltv(customers: DataFrame, facts: DataFrame, cfg: MartConfig) -
     states = measured.groupBy(*place).agg(
         F.count(F.lit(1)).alias("total_customers_state"),
         rnd(money_avg("total_revenue")).alias("avg_ltv_state"),
-        rnd(F.percentile_approx("total_revenue", 0.5)).alias("median_ltv_state"),
+        rnd(approx_median("total_revenue")).alias("median_ltv_state"),
         rnd(money_sum("total_revenue")).alias("total_revenue_state"),
         rnd(F.avg("avg_order_value")).alias("avg_aov_state"),
         rate_where(F.col("is_repeat_customer")).alias("repurchase_rate_state"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from martloom.config import MartConfig
 from martloom.functions import (
+    approx_median,
     as_timestamp,
     at_least,
     cents,
@@ -78,7 +79,7 @@ def mart_geographic_performance(ltv: DataFrame) -> DataFrame:
         F.count_if("is_repeat_customer").alias("repeat_customers"),
         rnd(money_sum("total_revenue")).alias("total_revenue"),
         rnd(money_avg("total_revenue")).alias("avg_ltv"),
-        rnd(F.percentile_approx("total_revenue", 0.5)).alias("median_ltv"),
+        rnd(approx_median("total_revenue")).alias("median_ltv"),
         rnd(F.max("total_revenue")).alias("max_ltv"),
         rnd(F.min("total_revenue")).alias("min_ltv"),
         F.sum("total_orders").alias("total_orders"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from martloom.functions import at_least, bins, money_sum, pct, ranges, ratio, rnd
+from martloom.functions import approx_median, at_least, bins, money_sum, pct, ranges, ratio, rnd
 from martloom.plans.operational import INSTALLMENT_BINS
 from martloom.reports.common import (
     by_label, grouped, mean, money_mean, rate, report, rows, top, total, whole, with_share,
@@ -287,7 +287,7 @@ def repeat_windows(m, w):
 def repeat_statistics(m, w):
     gap = "days_to_second_purchase"
     return whole(_returned(m), repeat_customers=rows(), avg_days_to_second_purchase=mean(gap),
-                 median_days_to_second_purchase=F.percentile_approx(gap, 0.5),
+                 median_days_to_second_purchase=approx_median(gap),
                  min_days_to_second_purchase=F.min(gap), max_days_to_second_purchase=F.max(gap))
 
 
