@@ -143,6 +143,8 @@ def test_warehouse_uses_the_person_key_by_default(spark):
         "payments": raw(spark, "payments", [("o1", 1, "boleto", 1, 10.0), ("o2", 1, "boleto", 1, 20.0)]),
         "reviews": raw(spark, "reviews", []),
         "order_items": raw(spark, "order_items", []),
+        "products": raw(spark, "products", []),
+        "category_translation": raw(spark, "category_translation", []),
     }
     base = Warehouse(spark, tables, CFG).mart("customer_base").collect()
     assert [(r.customer_id, r.total_orders, r.total_revenue, r.is_repeat_customer) for r in base] == [("u", 2, 30.0, True)]
