@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat
+from martloom.llm import chat, warc
 from martloom.llm.shared import scratch, stored, table
 from martloom.llm.statements import STATEMENTS
 
@@ -22,8 +22,28 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(stored(chat.expand(rows.unionByName(extra)), "chat"))
 
 
+def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back: responses with their payloads, which give
+    length and digest, and revisits by a pushed-down filter without any payload."""
+    path = scratch(spark, "warc")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), path)
+    responses = warc.read_warc(spark, path).where("record_type = 'response'").select(
+        "record_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"), "record_type", "refers_to",
+    )
+    revisits = warc.read_warc(spark, path, payload="false").where("record_type = 'revisit'").select(
+        "record_id", F.col("payload_length").alias("payload_bytes"), "payload_digest",
+        "record_type", "refers_to",
+    )
+    return responses.unionByName(revisits).select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op5_prefix_target_chat": chat_formatting,
+    "op9_warc_source": warc_archive,
 }
 
 ORACLES = {name: STATEMENTS[name] for name in QUERIES if name in STATEMENTS}

@@ -20,5 +20,18 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (sum(prefix) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars
 FROM summed GROUP BY conv_id
+""",
+    "op9_warc_source": r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest)
+    ELSE page_id END AS kept FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM m
 """,
 }
