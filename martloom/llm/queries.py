@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat, warc
+from martloom.llm import chat, jaccard, token_files, warc
 from martloom.llm.shared import scratch, stored, table
 from martloom.llm.statements import STATEMENTS
 
@@ -41,7 +41,24 @@ def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    import public_tokenizers
+
+    path = scratch(spark, "tokens")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary, end_id=2)
+    return token_files.read_tokens(spark, path, ids="crc32")
+
+
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share 90 % of their three-word shingles."""
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 QUERIES = {
+    "op1_elias_fano_tokens": token_output,
+    "op4_multi_order_jaccard": jaccard_join,
     "op5_prefix_target_chat": chat_formatting,
     "op9_warc_source": warc_archive,
 }
