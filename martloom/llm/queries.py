@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat, jaccard, token_files, warc
+from martloom.llm import chat, jaccard, langid, mixing, token_files, warc
 from martloom.llm.shared import scratch, stored, table
 from martloom.llm.statements import STATEMENTS
 
@@ -56,7 +56,23 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the mix of their sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"),
+    )
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES = {
+    "op10_hyperdimensional_language": language_id,
+    "op3_entropy_balancing": source_mix,
     "op1_elias_fano_tokens": token_output,
     "op4_multi_order_jaccard": jaccard_join,
     "op5_prefix_target_chat": chat_formatting,
