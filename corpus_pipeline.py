@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from martloom.llm import decontam, jaccard, langid, mixing, token_files
+from martloom.llm.shared import scratch, stored, table
+
+
+def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which language ID finds a language."""
+    return langid.recognised(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each similarity group (five words, 0.8). Rows without a
+    doc_id stay."""
+    groups = jaccard.jaccard_groups(docs, size=5, percent=80)
+    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(
+        *docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.copied(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    path = scratch(spark, "pipeline-tokens")
+    token_files.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_tokens(spark, path, ids="crc32")
+
+
+STAGES = [
+    ("language_id", keep_recognised),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_files", write_token_files),
+]
 
 #: Language ID, similarity groups, and token files have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Placeholder chain: the documents as they are until the stages are registered."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

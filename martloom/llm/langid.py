@@ -14,10 +14,9 @@ the smallest label. With no usable training rows every text is ``und``. Rows of
 learned from. Extra columns are ignored.
 """
 
-from __future__ import annotations
-
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,19 +132,18 @@ def train(docs: DataFrame, profile: Profile = Profile()) -> Model:
     return Model(profile, tuple(str(x) for x in wide.index[usable]), mean, centred)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (``doc_id``, ``text``) as ``doc_id, lang_pred, score``; the score is the cosine,
-    negative ones being 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def language_of(spark: SparkSession, model: Model, text: str = "text") -> F.Column:
+    """``lang_pred`` and ``score`` of a text column; the score is the cosine, negative ones being 0."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def apply(frames):
+    def apply(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         bundler = Bundler(m.profile)
-        for frame in frames:
-            vectors = bundler.bundle(frame["text"].tolist())
+        for texts in series:
+            vectors = bundler.bundle(texts.tolist())
             lettered = vectors.any(axis=1)
-            label = np.full(len(frame), UNKNOWN, object)
-            score = np.zeros(len(frame))
+            label = np.full(len(texts), UNKNOWN, object)
+            score = np.zeros(len(texts))
             if len(m.labels) and lettered.any():
                 centred = vectors[lettered] - m.mean
                 centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
@@ -153,10 +151,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 cosines = np.round(centred @ m.prototypes.T, 9)
                 label[lettered] = np.array(m.labels, object)[cosines.argmax(axis=1)]
                 score[lettered] = np.clip(cosines.max(axis=1), 0, 1)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": label, "score": score})
+            yield pd.DataFrame({"lang_pred": label, "score": score})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(apply, "doc_id long, lang_pred string, score double")
+    return F.pandas_udf(apply, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)(text)
 
 
 def held_out() -> F.Column:
@@ -168,12 +165,15 @@ def identify(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """Model of the documents that are not held out, applied to all: ``doc_id, held_out, lang_pred,
     score``."""
     model = train(docs.where(~held_out()), profile)
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
+        language_of(docs.sparkSession, model).alias("found"),
+    )
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def with_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents whose language is recognised; rejected are texts that are null or have no letters.
-    A row is judged by its own text, so rows that share a doc_id do not decide for each other."""
-    letters = F.col("text").rlike(r"\p{L}")
-    found = identify(docs.where(letters)).where(F.col("lang_pred") != UNKNOWN)
-    return docs.where(letters).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+def recognised(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """The rows of ``docs`` whose text gets a language; rejected are those without any letter."""
+    model = train(docs.where(~held_out()), profile)
+    found = docs.withColumn("_found", language_of(docs.sparkSession, model))
+    return found.where(F.col("_found.lang_pred") != UNKNOWN).drop("_found")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat, jaccard, langid, mixing, token_files, warc
+from martloom.llm import chat, decontam, jaccard, langid, mixing, token_files, warc
 from martloom.llm.shared import scratch, stored, table
 from martloom.llm.statements import STATEMENTS
 
@@ -70,7 +70,15 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every test item: the verified pairs."""
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        *[F.round(F.max(c), 6).alias(c) for c in ("score", "question", "answer")])
+
+
 QUERIES = {
+    "op6_block_max_decontamination": decontamination,
     "op10_hyperdimensional_language": language_id,
     "op3_entropy_balancing": source_mix,
     "op1_elias_fano_tokens": token_output,
