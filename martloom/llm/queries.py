@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat, decontam, jaccard, langid, mixing, token_files, warc
+from martloom.llm import chat, decontam, jaccard, langid, mixing, token_files, vectors, warc
 from martloom.llm.shared import scratch, stored, table
 from martloom.llm.statements import STATEMENTS
 
@@ -77,7 +77,13 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.round(F.max(c), 6).alias(c) for c in ("score", "question", "answer")])
 
 
+def embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of a label against each other."""
+    return vectors.near_groups(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 QUERIES = {
+    "op7_int8_tile_vectors": embedding_groups,
     "op6_block_max_decontamination": decontamination,
     "op10_hyperdimensional_language": language_id,
     "op3_entropy_balancing": source_mix,
