@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat, decontam, jaccard, langid, mixing, token_files, vectors, warc
+from martloom.llm import chat, decontam, jaccard, langid, mixing, substrings, token_files, vectors, warc
 from martloom.llm.shared import scratch, stored, table
 from martloom.llm.statements import STATEMENTS
 
@@ -82,7 +82,14 @@ def embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_groups(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 20-word windows that start earlier."""
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"), size=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op8_fm_index_substrings": substring_dedup,
     "op7_int8_tile_vectors": embedding_groups,
     "op6_block_max_decontamination": decontamination,
     "op10_hyperdimensional_language": language_id,
