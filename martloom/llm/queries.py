@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat, decontam, jaccard, langid, mixing, substrings, token_files, vectors, warc
+from martloom.llm import chat, decontam, jaccard, langid, mixing, substrings, suffixes, token_files, vectors, warc
 from martloom.llm.shared import scratch, stored, table
 from martloom.llm.statements import STATEMENTS
 
@@ -88,7 +88,14 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that start in two places."""
+    kept = suffixes.without_repeats(table(spark, sf_dir, "documents"), size=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op2_column_wise_suffixes": suffix_dedup,
     "op8_fm_index_substrings": substring_dedup,
     "op7_int8_tile_vectors": embedding_groups,
     "op6_block_max_decontamination": decontamination,
