@@ -21,14 +21,15 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:
     """All words between ASCII white space (dictionary encoded) and the number of each text's words.
     A null text has none. ``lower`` folds A-Z only."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     before = np.concatenate([[0], np.cumsum(real)])
-    return flat.filter(pa.array(real)).dictionary_encode(), np.diff(before[ends])
+    words = flat.filter(pa.array(real))
+    if lower:
+        # ``ascii_lower`` misplaces texts of a sliced array, so it gets the newly built one.
+        words = pc.ascii_lower(words)
+    return words.dictionary_encode(), np.diff(before[ends])
 
 
 def word_hashes(words: pa.DictionaryArray) -> np.ndarray:
