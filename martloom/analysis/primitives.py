@@ -89,7 +89,7 @@ def sequence(w):
     """Place of each order in its customer's history and the date before it."""
     ordered = sequence_within(
         w.orders().select("customer_id", "order_id", "order_purchase_timestamp"), "customer_id",
-        ["order_purchase_timestamp", "order_id"], "order_purchase_timestamp", w.cfg.hot_rows)
+        ["order_purchase_timestamp", "order_id"], "order_purchase_timestamp")
     return ordered.select("customer_id", "order_id", "seq",
                           day_diff("order_purchase_timestamp", "previous_order_purchase_timestamp").alias("gap"))
 

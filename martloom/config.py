@@ -17,8 +17,6 @@ class MartConfig:
     churn_days: int = 180
     cac: float = 50.0
     customer_key: str = "customer_unique_id"
-    # A key with more rows than this gets the split path of ``operators.sequence``.
-    hot_rows: int = 5_000_000
 
     @property
     def today(self) -> Column:

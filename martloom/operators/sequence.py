@@ -7,56 +7,51 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martloom.operators.ranking import global_position
 from martloom.operators.storage import settled
 
 
-def heavy_keys(df: DataFrame, key: str, limit: int, tracked: int = 100) -> list:
-    """Keys with about ``limit`` rows or more, from a bounded sketch (one narrow pass).
-
-    The sketch only chooses between two exact ways, so an estimate is enough here.
-    """
-    top = df.select(F.expr(f"approx_top_k(`{key}`, {tracked})").alias("top")).first()["top"]
-    return [r["item"] for r in top or [] if r["item"] is not None and r["count"] >= limit]
-
-
-def sequence_within(
-    df: DataFrame, key: str, order: Sequence[str], previous: str, hot_rows: int,
-    keys_from: DataFrame | None = None,
-) -> DataFrame:
+def sequence_within(df: DataFrame, key: str, order: Sequence[str], previous: str) -> DataFrame:
     """Adds ``seq`` (1-based place in the key) and ``previous_<previous>`` (value one row before).
 
-    ``order`` must end in a unique column. Usual keys take a plain window. Keys over ``hot_rows``
-    are range partitioned by their order instead, so their rows spread over many tasks. Where
-    ``df`` is costly to compute, ``keys_from`` names a cheaper frame with the same keys to look
-    for hot ones in.
+    ``order`` must end in a unique column. Rows are range partitioned by key and order and numbered
+    inside each partition, so a key of any size spreads over many tasks. A key that goes on in the
+    next partitions carries its row count and last value over to them.
     """
     prev = f"previous_{previous}"
-    window = Window.partitionBy(key).orderBy(*order)
-
-    def plain(part: DataFrame) -> DataFrame:
-        return part.withColumn("seq", F.row_number().over(window).cast("bigint")).withColumn(
-            prev, F.lag(previous).over(window)
-        )
-
-    hot = heavy_keys(df if keys_from is None else keys_from, key, hot_rows)
-    if not hot:
-        return plain(df)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    placed = settled(
-        global_position(df.where(is_hot), [F.col(key), *map(F.col, order)], "_at").drop("total_rows")
+    parts = settled(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", key).orderBy(*order)
+    numbered = parts.withColumn("seq", F.row_number().over(inside).cast("bigint")).withColumn(
+        prev, F.lag(previous).over(inside)
+    )
+    # From here to the carried values every frame has at most two rows per range partition.
+    k = F.col(key).alias("k")
+    ends = parts.groupBy("_part").agg(F.min(F.struct(k)).alias("_first"), F.max(F.struct(k)).alias("_last"))
+    before = F.lag("_last").over(Window.orderBy("_part"))
+    going_on = (
+        ends.withColumn("_before", before)
+        .where("_before is not null and _first.k <=> _before.k")
+        .select(F.col("_first.k").alias("_key"))
+        .distinct()
     )
-    starts = placed.groupBy(key).agg(F.min("_at").alias("_start"))
-    before = placed.select(
-        F.col(key).alias("_key"), (F.col("_at") + 1).alias("_next"), F.col(previous).alias(prev)
+    pieces = (
+        parts.join(F.broadcast(going_on), F.col(key).eqNullSafe(F.col("_key")))
+        .groupBy("_part", "_key")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.max_by(previous, F.struct(*order)).alias("_value"))
     )
-    spread = (
-        placed.join(F.broadcast(starts), key)  # at most the tracked keys
-        .withColumn("seq", F.col("_at") - F.col("_start") + 1)
-        .join(before, (F.col("_at") == F.col("_next")) & (F.col(key) == F.col("_key")), "left")
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select(
+        F.col("_part").alias("_at"), "_key",
+        F.sum("_rows").over(earlier).alias("_seen"), F.last("_value").over(earlier).alias("_carried"),
+    ).where("_seen is not null")
+    starts = F.col("_seen").isNotNull() & (F.col("seq") == 1)
+    return (
+        numbered.join(
+            F.broadcast(carried), (F.col("_part") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key")), "left"
+        )
+        .withColumn(prev, F.when(starts, F.col("_carried")).otherwise(F.col(prev)))
+        .withColumn("seq", F.col("seq") + F.coalesce("_seen", F.lit(0)))
+        .select(*df.columns, "seq", prev)
     )
-    columns = [*df.columns, "seq", prev]
-    return plain(df.where(~is_hot)).select(columns).unionByName(spread.select(columns))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

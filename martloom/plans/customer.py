@@ -417,7 +417,6 @@ def purchase_gaps(facts: DataFrame, cfg: MartConfig) -> DataFrame:
     ordered = sequence_within(
         completed(facts).select("customer_id", "order_id", "order_purchase_timestamp"),
         "customer_id", ["order_purchase_timestamp", "order_id"], "order_purchase_timestamp",
-        cfg.hot_rows,
     )
     gap = day_diff("order_purchase_timestamp", "previous_order_purchase_timestamp")
     sums = ordered.select("customer_id", gap.alias("gap")).where("gap is not null").groupBy(

@@ -31,8 +31,7 @@ def mart_aov_analysis(facts: DataFrame, customers: DataFrame, cfg: MartConfig) -
     """One row per completed, paid order: value, size, freight and payment segments."""
     paid = completed(facts).where("paid_c > 0").withColumn("order_value", from_cents("paid_c"))
     numbered = sequence_within(
-        paid, "customer_id", ["order_purchase_timestamp", "order_id"], "order_id", cfg.hot_rows,
-        keys_from=completed(facts),
+        paid, "customer_id", ["order_purchase_timestamp", "order_id"], "order_id",
     )
     value, bought = F.col("order_value"), F.col("order_purchase_timestamp")
     n = F.coalesce("items", F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from martloom.operators.ranking import global_position, quantiles, value_profile, with_ntile
 from martloom.operators.sequence import (
-    heavy_keys, keep_first, most_frequent, sequence_within, top_per_group,
+    keep_first, most_frequent, sequence_within, top_per_group,
 )
 
 DISTINCT = 40
@@ -64,23 +64,36 @@ def test_quantiles_of_nothing_are_null(spark):
     assert list(quantiles(frame(spark, []), "v", [0.5]).first()) == [None]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 60, 10_000])
-def test_sequence_is_the_same_for_hot_keys(spark, hot_rows):
-    """One key holds most rows; both ways of numbering must agree."""
+@pytest.fixture
+def split_ranges(spark):
+    """Keeps small range partitions apart."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("hot_keys", [1, 3])
+def test_sequence_is_the_window_for_hot_keys(spark, hot_keys, split_ranges):
+    """A few keys hold most rows and go over several partitions."""
     rng = random.Random(3)
-    rows = [(i, 0 if rng.random() < 0.6 else rng.randrange(1, 30), rng.randrange(50)) for i in range(400)]
+    rows = [(i, -rng.randrange(hot_keys) if rng.random() < 0.6 else rng.randrange(1, 30), rng.randrange(50)) for i in range(400)]
     df = spark.createDataFrame(rows + [(1000, None, 1), (1001, None, 2)], "id long, k long, t long")
-    got = {(r.id, r.seq, r.previous_t) for r in sequence_within(df, "k", ["t", "id"], "t", hot_rows).collect()}
+    got = {(r.id, r.seq, r.previous_t) for r in sequence_within(df, "k", ["t", "id"], "t").collect()}
     w = Window.partitionBy("k").orderBy("t", "id")
     want = {(r.id, r.s, r.p) for r in df.select(
         "id", F.row_number().over(w).alias("s"), F.lag("t").over(w).alias("p")).collect()}
     assert got == want
 
 
-def test_heavy_keys(spark):
-    df = spark.createDataFrame([(1,)] * 50 + [(k,) for k in range(2, 20)], "k long")
-    assert heavy_keys(df, "k", 40) == [1]
-    assert heavy_keys(df, "k", 51) == []
+def test_sequence_of_many_hot_keys_and_of_nothing(spark, split_ranges):
+    df = spark.range(3000).selectExpr("id", "id % 300 as k", "-id as t")
+    rows = sequence_within(df, "k", ["t", "id"], "t")
+    wrong = rows.where("seq <> 10 - id div 300 or previous_t is distinct from if(seq = 1, null, t - 300)")
+    assert rows.count() == 3000 and wrong.count() == 0
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(k#" not in plan
+    assert sequence_within(df.where("id < 0"), "k", ["t", "id"], "t").count() == 0
 
 
 def test_keep_first_orders_nulls_first_and_breaks_ties(spark):
