@@ -8,10 +8,19 @@ its words' block maxima reaches the threshold; no item above the threshold can b
 This is done for many passages at once, so there is no pivot word: the block check stands in its
 place.
 
-Passages are twice as long as the longest item of the index shard and overlap by half, so any
-occurrence of an item lies whole in one. Retrieved items are verified on the passage: of the
-five-word shingles of the question and of the answer, each 80 % must occur. The answer is the last
-line of an item, or its last sentence if there is one line.
+Passages are twice as long as the longest item of the index shard with its allowed edits and overlap
+by half, so any occurrence of an item lies whole in one. Retrieved items are verified on the passage,
+by either of two rules:
+
+* words: question and answer are each laid over their best place in the passage; the words changed,
+  left out or put in (edit distance) are at most 20 % of the whole item's words, and at most half of
+  each part's, or two words where the part is shorter than four. A changed word counts once, however
+  short the part is.
+* shingles: of the five-word shingles of the question and of the answer, each 80 % occur, in any order.
+
+The answer is the last line of an item, or its last sentence if there is one line. An item's threshold
+is ``least``, or the weight that is left when the heaviest words it may lose by the first rule are gone,
+if that is smaller; so retrieval loses no item that verification by words would keep.
 
 The index is cut into shards of about ``shard_words`` words, by hash of the item; each is small
 enough to be broadcast, and the texts are read once for each. The number of shards grows with the
@@ -72,12 +81,16 @@ class Index:
     block_at: np.ndarray
     block: np.ndarray
     block_max: np.ndarray
+    need: np.ndarray
+    block_need: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
     window: int
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str], df: dict[int, int], total: int, mean: float) -> Index:
+    def of(
+        cls, ids: list[int], texts: list[str], df: dict[int, int], total: int, mean: float, least: float, share: float
+    ) -> Index:
         hashes, counts = plain_words(pa.array(texts))
         item = np.repeat(np.arange(len(ids)), counts)
         words, code = np.unique(hashes, return_inverse=True)
@@ -87,6 +100,15 @@ class Index:
         idf = np.log1p((total - seen + 0.5) / (seen + 0.5))
         impact = idf[code] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * counts[item] / mean))
         impact /= np.bincount(item, impact, len(ids))[item]
+        edits = np.array([allowed(int(n), share) for n in counts], np.int64)
+        # The heaviest words per occurrence go first, the last one in part: no edits take more weight.
+        order = np.lexsort((-impact / tf, item))
+        first = np.searchsorted(item[order], np.arange(len(ids)))
+        before = np.cumsum(tf[order]) - tf[order]
+        before -= before[first][item[order]]
+        gone = np.clip((edits[item[order]] - before) / tf[order], 0, 1) * impact[order]
+        need = np.minimum(least, 1 - np.bincount(item[order], gone, len(ids)))
+        block_need = np.minimum.reduceat(need, np.arange(0, len(ids), _BLOCK))
         blocks = len(ids) // _BLOCK + 1
         pair, at = np.unique(code * blocks + item // _BLOCK, return_index=True)
         start = lambda c: np.searchsorted(c, np.arange(len(words) + 1))
@@ -98,22 +120,23 @@ class Index:
             parts.append([h[e - k:e] for e, k in zip(ends, n)])
         return cls(
             np.array(ids), words, start(code), item, impact, start(pair // blocks), pair % blocks,
-            np.maximum.reduceat(impact, at), *parts, window=2 * max(int(counts.max()), 16),
+            np.maximum.reduceat(impact, at), need, np.resize(block_need, blocks), *parts,
+            window=2 * max(int((counts + edits).max()), 16),
         )
 
-    def retrieve(self, passage: np.ndarray, code: np.ndarray, n: int, least: float):
-        """(passage, item, score) of all items of at least ``least``, for distinct (passage, word)."""
+    def retrieve(self, passage: np.ndarray, code: np.ndarray, n: int):
+        """(passage, item, score) of all items that reach their threshold, for distinct (passage, word)."""
         blocks = len(self.items) // _BLOCK + 1
         owner, at = _spread(self.block_at, code)
         key = passage[owner] * blocks + self.block[at]
         bound = np.bincount(key, self.block_max[at], n * blocks)
-        open_block = bound >= least - 1e-9
+        open_block = bound >= np.tile(self.block_need, n) - 1e-9
         owner, at = _spread(self.post_at, code)
         inside = open_block[passage[owner] * blocks + self.post_item[at] // _BLOCK]
         owner, at = owner[inside], at[inside]
         key, slot = np.unique(passage[owner] * len(self.items) + self.post_item[at], return_inverse=True)
         score = np.bincount(slot, self.post_impact[at], len(key))
-        hit = score >= least - 1e-9
+        hit = score >= self.need[key % len(self.items)] - 1e-9
         return key[hit] // len(self.items), key[hit] % len(self.items), score[hit]
 
 
@@ -135,7 +158,52 @@ def _share(part: np.ndarray, passage: np.ndarray) -> float:
     return float(np.isin(np.unique(shingles(part, size)), shingles(passage, size)).mean())
 
 
-def search(index: Index, hashes: np.ndarray, counts: np.ndarray, least: float, share: float):
+def allowed(n: int, share: float) -> int:
+    """The number of edits that leave at least ``share`` of ``n`` words."""
+    return int((1 - share) * n + 1e-9)
+
+
+def edits(part: np.ndarray, passage: list[int]) -> int:
+    """The fewest words to change, leave out or put in so that ``part`` occurs in the passage: Myers'
+    bit-parallel edit distance with free ends, one bit a word of the part."""
+    if not len(part):
+        return 0
+    where: dict[int, int] = {}
+    for k, w in enumerate(part.tolist()):
+        where[w] = where.get(w, 0) | 1 << k
+    full, top = (1 << len(part)) - 1, len(part) - 1
+    up, down, now = full, 0, len(part)
+    best = now
+    for w in passage:
+        same = where.get(w, 0)
+        x = same | down
+        across = (((same & up) + up) ^ up) | same
+        plus, minus = down | (full & ~(across | up)), up & across
+        now += (plus >> top & 1) - (minus >> top & 1)
+        best = min(best, now)
+        plus, minus = plus << 1 & full, minus << 1 & full
+        up, down = minus | (full & ~(x | plus)), plus & x
+    return best
+
+
+def verify(question: np.ndarray, answer: np.ndarray, window: np.ndarray, share: float) -> tuple[float, float] | None:
+    """Shares of question and answer in the window by the rule that accepts the item, or None. By
+    words, a part's share is that of its words without an edit."""
+    q, a = _share(question, window), _share(answer, window)
+    if min(q, a) >= share:
+        return q, a
+    n, room = len(question) + len(answer), allowed(len(question) + len(answer), share)
+    if n - int(np.isin(question, window).sum()) - int(np.isin(answer, window).sum()) > room:
+        return None
+    words = window.tolist()
+    lost = [edits(question, words), edits(answer, words)]
+    if sum(lost) > room or any(k > max(2, len(p) // 2) for k, p in zip(lost, (question, answer))):
+        return None
+    q, a = (1 - k / len(p) if len(p) else 1.0 for k, p in zip(lost, (question, answer)))
+    return q, a
+
+
+def search(index: Index, hashes: np.ndarray, counts: np.ndarray, share: float):
     """(text number, item, score, question share, answer share) of each verified hit."""
     half = index.window // 2
     text = np.repeat(np.arange(len(counts)), counts)
@@ -156,21 +224,21 @@ def search(index: Index, hashes: np.ndarray, counts: np.ndarray, least: float, s
     step = max(1, (1 << 21) // (len(index.items) // _BLOCK + 1))
     for low in range(0, int(halves.sum()), step):
         a, b = np.searchsorted(passage, [low, low + step])
-        found = index.retrieve(passage[a:b] - low, code[a:b], step, least)
+        found = index.retrieve(passage[a:b] - low, code[a:b], step)
         for p, i, score in zip(*(x.tolist() for x in found)):
             t = int(owner[p + low])
             start = begin[t] + (p + low - first[t]) * half
             window = hashes[start:min(start + index.window, begin[t] + counts[t])]
-            q, a_ = _share(index.question[i], window), _share(index.answer[i], window)
-            if min(q, a_) >= share:
-                yield t, int(index.items[i]), score, q, a_
+            shares = verify(index.question[i], index.answer[i], window, share)
+            if shares:
+                yield t, int(index.items[i]), score, *shares
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, least: float = 0.6, share: float = 0.8, shard_words: int = 1 << 20
 ) -> DataFrame:
     """Verified pairs: ``doc_id, text_hash, item_id, score`` (best of all passages) and the shares of
-    question and answer shingles. ``text_hash`` is Spark's xxhash64 of the text."""
+    question and answer by the rule that accepts them. ``text_hash`` is Spark's xxhash64 of the text."""
     spark = docs.sparkSession
 
     def item_words(batches):
@@ -202,14 +270,14 @@ def contaminated(
         vocabulary = mine.select(F.explode("words").alias("word")).distinct()
         df = dict(map(tuple, seen.join(vocabulary, "word").toPandas().itertuples(index=False)))
         index = spark.sparkContext.broadcast(
-            Index.of(here["item_id"].tolist(), here["text"].tolist(), df, total, words / total))
+            Index.of(here["item_id"].tolist(), here["text"].tolist(), df, total, words / total, least, share))
 
         def scan(batches, index=index):
             for batch in text_batches(batches, limit=1 << 20):
                 hashes, counts = plain_words(batch.column("text"))
                 if not len(hashes):
                     continue
-                found = list(search(index.value, hashes, counts, least, share))
+                found = list(search(index.value, hashes, counts, share))
                 if found:
                     t, item, score, q, a = map(list, zip(*found))
                     yield pa.RecordBatch.from_arrays([

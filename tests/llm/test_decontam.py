@@ -45,3 +45,24 @@ def test_pipeline(spark):
     ordered = sorted(rows, key=lambda r: r.start)
     assert [r.doc_id for r in ordered] == sorted(r.doc_id for r in rows)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(ordered, ordered[1:]))
+
+
+def test_items_with_one_or_two_changed_words(spark):
+    item = ("Which of the seven rivers in this old valley carries the most water during the spring flood?\n"
+            "The northern river carries the most by far.")
+    words = item.split(" ")
+    changed = lambda *at: " ".join("xx" if k in at else w for k, w in enumerate(words))
+    n = len(words)
+    texts = [changed(k) for k in range(n)] + [changed(k, (k + 7) % n) for k in range(n)]
+    texts += [" ".join(words[:k] + ["xx"] + words[k:]) for k in range(n)] + [" ".join(words[:k] + words[k + 1:]) for k in range(n)]
+    question, answer = item.split("\n")
+    apart = len(texts)
+    texts += [f"{changed(2, 9).splitlines()[0]} Let us think. {answer}", f"{answer} So asks: {question}"]
+    clean = [question, answer, f"{question}\nMountains lie far away in snow there.", " ".join(sorted(words))]
+    rows = [(k, f"{'before ' * 90}{t}{' after' * 90}") for k, t in enumerate(texts + clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "What is the boiling point of pure water?\nA hundred degrees.")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()}
+    assert apart == 4 * n and got == {(k, 1) for k in range(len(texts))}
+    left = {r.doc_id for r in corpus_pipeline.decontam.decontaminated(docs, items).collect()}
+    assert left == set(range(len(texts), len(rows)))
