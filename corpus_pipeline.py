@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martloom.llm import decontam, jaccard, langid, mixing, token_files
 from martloom.llm.shared import scratch, stored, table
@@ -14,11 +15,20 @@ def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each similarity group (five words, 0.8). Rows without a
-    doc_id stay."""
-    groups = jaccard.jaccard_groups(docs, size=5, percent=80)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(
-        *docs.columns)
+    """One row of each similarity group (five words, 0.8): of the smallest doc_id (nulls last), then text
+    hash, then row key. Rows are told apart by a stored key, so doc_ids may repeat or be null."""
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    groups = jaccard.jaccard_groups(keyed.select(F.col("_row").alias("doc_id"), "text"), size=5, percent=80)
+    # A row outside all groups is its own component; only rows of real groups are compared.
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"), "component_id")
+    heads = others.select(F.col("component_id").alias("_row"), "component_id").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    members = stored(
+        keyed.select("_row", place.alias("place")).join(others.unionAll(heads), "_row").select("component_id", "place"),
+        "near-copies")
+    first = members.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row"))
+    gone = members.select(F.col("place._row").alias("_row")).join(first, "_row", "left_anti")
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
