@@ -22,12 +22,13 @@ The answer is the last line of an item, or its last sentence if there is one lin
 is ``least``, or the weight that is left when the heaviest words it may lose by the first rule are gone,
 if that is smaller; so retrieval loses no item that verification by words would keep.
 
-The index is cut into shards of about ``shard_words`` words, by hash of the item; each is small
+The index is cut into shards of about ``shard_words`` words, by hash of the item's text; each is small
 enough to be broadcast, and the texts are read once for each. The number of shards grows with the
 benchmark alone.
 
-Defined results: null, empty or word-less texts and items are linked with nothing. Rows that share a doc_id or
-item_id are taken together. Empty tables give empty results. Extra columns are ignored.
+Defined results: null, empty or word-less texts and items are linked with nothing. Items without an item_id are
+searched like all others and reported under a null item_id. Rows that share a doc_id or item_id (null too) are
+taken together. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def question_answer(text: str) -> tuple[str, str]:
 class Index:
     """One shard: sorted words; postings (item, impact) and block maxima (block, impact) by word."""
 
-    items: np.ndarray
+    items: list[int | None]
     words: np.ndarray
     post_at: np.ndarray
     post_item: np.ndarray
@@ -89,7 +90,7 @@ class Index:
 
     @classmethod
     def of(
-        cls, ids: list[int], texts: list[str], df: dict[int, int], total: int, mean: float, least: float, share: float
+        cls, ids: list[int | None], texts: list[str], df: dict[int, int], total: int, mean: float, least: float, share: float
     ) -> Index:
         hashes, counts = plain_words(pa.array(texts))
         item = np.repeat(np.arange(len(ids)), counts)
@@ -119,7 +120,7 @@ class Index:
             ends = np.cumsum(n)
             parts.append([h[e - k:e] for e, k in zip(ends, n)])
         return cls(
-            np.array(ids), words, start(code), item, impact, start(pair // blocks), pair % blocks,
+            ids, words, start(code), item, impact, start(pair // blocks), pair % blocks,
             np.maximum.reduceat(impact, at), need, np.resize(block_need, blocks), *parts,
             window=2 * max(int((counts + edits).max()), 16),
         )
@@ -231,7 +232,7 @@ def search(index: Index, hashes: np.ndarray, counts: np.ndarray, share: float):
             window = hashes[start:min(start + index.window, begin[t] + counts[t])]
             shares = verify(index.question[i], index.answer[i], window, share)
             if shares:
-                yield t, int(index.items[i]), score, *shares
+                yield t, index.items[i], score, *shares
 
 
 def contaminated(
@@ -252,25 +253,25 @@ def contaminated(
             ], ["item_id", "n", "words", "text"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
-        "item_id IS NOT NULL AND text IS NOT NULL").distinct()
+        "text IS NOT NULL").distinct()
     items = items.mapInArrow(item_words, "item_id long, n long, words array<long>, text string").where("n > 0")
     total, words = items.agg(F.count("*"), F.sum("n")).first()
     if not total:
         return spark.createDataFrame([], _HIT)
     shards = 1 + words // shard_words
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)))
     seen = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     hits = []
     for shard in range(shards):
         mine = items.where(F.col("shard") == shard)
-        here = mine.select("item_id", "text").sort("item_id", "text").toPandas()
-        if here.empty:
+        here = mine.select("item_id", "text").sort("item_id", "text").collect()
+        if not here:
             continue
         vocabulary = mine.select(F.explode("words").alias("word")).distinct()
         df = dict(map(tuple, seen.join(vocabulary, "word").toPandas().itertuples(index=False)))
         index = spark.sparkContext.broadcast(
-            Index.of(here["item_id"].tolist(), here["text"].tolist(), df, total, words / total, least, share))
+            Index.of([r.item_id for r in here], [r.text for r in here], df, total, words / total, least, share))
 
         def scan(batches, index=index):
             for batch in text_batches(batches, limit=1 << 20):
@@ -282,7 +283,7 @@ def contaminated(
                     t, item, score, q, a = map(list, zip(*found))
                     yield pa.RecordBatch.from_arrays([
                         batch.column("doc_id").take(pa.array(t)), batch.column("text_hash").take(pa.array(t)),
-                        pa.array(item), pa.array(score), pa.array(q), pa.array(a),
+                        pa.array(item, pa.int64()), pa.array(score), pa.array(q), pa.array(a),
                     ], ["doc_id", "text_hash", "item_id", "score", "question", "answer"])
 
         hits.append(rows.mapInArrow(scan, _HIT))

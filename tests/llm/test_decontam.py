@@ -66,3 +66,12 @@ def test_items_with_one_or_two_changed_words(spark):
     assert apart == 4 * n and got == {(k, 1) for k in range(len(texts))}
     left = {r.doc_id for r in corpus_pipeline.decontam.decontaminated(docs, items).collect()}
     assert left == set(range(len(texts), len(rows)))
+
+
+def test_items_without_id_are_searched(spark):
+    item = "What is the colour of the clear sky at noon?\nIt is blue."
+    other = "How many legs does a grown spider have in all?\nEight legs."
+    docs = spark.createDataFrame([(1, f"so {item} yes"), (2, f"so {other} yes"), (3, "so yes")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (5, other), (None, None), (None, "")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()} == {(1, None), (2, 5)}
+    assert [r.doc_id for r in decontaminated(docs, items.where("item_id IS NULL")).collect() if r.doc_id == 1] == []
