@@ -156,6 +156,14 @@ def language_of(spark: SparkSession, model: Model, text: str = "text") -> F.Colu
     return F.pandas_udf(apply, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)(text)
 
 
+def has_letters():
+    """Whether a text has letters, as language ID sees them."""
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(_OTHER.sub(" ", (t or "").lower()).strip())).astype(bool)
+
+    return F.pandas_udf(apply, "boolean", F.PandasUDFType.SCALAR)
+
+
 def held_out() -> F.Column:
     """True for the third of documents that is never learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -173,7 +181,10 @@ def identify(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
 
 
 def recognised(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """The rows of ``docs`` whose text gets a language; rejected are those without any letter."""
+    """The rows of ``docs`` whose text gets a language; rejected are those without any letter. Where no
+    label can be learned, so that no text gets a language, the rows with letters stay all the same."""
     model = train(docs.where(~held_out()), profile)
+    if not model.labels:
+        return docs.where(has_letters()(F.col("text")))
     found = docs.withColumn("_found", language_of(docs.sparkSession, model))
     return found.where(F.col("_found.lang_pred") != UNKNOWN).drop("_found")

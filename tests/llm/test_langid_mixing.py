@@ -70,3 +70,10 @@ def test_mix_edges(spark):
     check_mix(rows, docs)
     assert mixing.mix(docs.limit(0)).collect() == []
     assert len(mixing.copied(docs).columns) == 3
+
+
+def test_documents_without_labels_stay(spark):
+    rows = [(1, "die der"), (2, "日本語"), (3, "12 3!"), (4, None), (None, "the"), (5, "")]
+    docs = spark.createDataFrame([(d, t, None) for d, t in rows], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id or 0) for r in langid.recognised(docs).collect()) == [0, 1, 2]
+    assert langid.recognised(docs.limit(0)).collect() == []
