@@ -177,6 +177,10 @@ class _Inflated:
         self.more(start + length)
         return self.data[start:start + length]
 
+    def extended(self, start: int, block: bytes, length: int) -> bytes:
+        """``block``, the first bytes of the record's block, read on up to ``length``."""
+        return self.body(start, length)
+
     def close(self) -> None:
         if self.size:
             self.window.skip(self.size - self.used)
@@ -204,6 +208,9 @@ class _Plain:
         self.left -= len(got)
         return got
 
+    def extended(self, start: int, block: bytes, length: int) -> bytes:
+        return block + self.body(start, length - len(block))
+
     def close(self) -> None:
         self.window.skip(max(0, self.left))
 
@@ -217,6 +224,12 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
+def _header_end(block: bytes) -> int:
+    """Where the HTTP headers end; a block without their end is headers alone."""
+    found = block.find(_BREAK)
+    return len(block) if found < 0 else found + len(_BREAK)
+
+
 def _digest(value: str | None) -> str | None:
     """Hex of a base32 SHA-1; other digests stay as they are."""
     if value and value.startswith("sha1:") and len(value) == 37:
@@ -245,12 +258,17 @@ def records(file, keep, payload: bool) -> Iterator[tuple]:
             body, size = None, length
             http = fields.get("content-type", "").startswith("application/http")
             if http and not payload and row["record_type"] == "response":
-                # The block without its HTTP headers, which are short.
+                # The block without its HTTP headers, which are mostly short.
                 block = one.body(start, min(length, 1 << 14))
-                size = length - (block.find(_BREAK) + len(_BREAK))
+                while _BREAK not in block and len(block) < length:
+                    more = min(length, 2 * len(block))
+                    if len(longer := one.extended(start, block, more)) == len(block):
+                        break
+                    block = longer
+                size = length - _header_end(block)
             elif http:
                 block = one.body(start, length)
-                cut = block.find(_BREAK) + len(_BREAK)
+                cut = _header_end(block)
                 if row["record_type"] == "revisit":
                     size = int(_fields(block[:cut]).get("content-length", 0))
                 else:

@@ -99,3 +99,20 @@ def test_query_covers_all_pages(spark, sf_dir):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     found = QUERIES["op9_warc_source"](spark, sf_dir).collect()
     assert sorted((tuple(r) for r in found), key=str) == expected(pages)
+
+
+def test_long_http_headers_without_payload(spark, tmp_path):
+    def one(uri, block):
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {uri}\r\n"
+        head += f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    long = lambda n: b"HTTP/1.1 200 OK\r\nX-A: " + b"a" * n + b"\r\n\r\n"
+    blocks = [long(n) + b"p" * 50_000 for n in (10, 16_357, 16_358, 40_000, 200_000)] + [b"HTTP/1.1 200 OK\r\n" + b"x" * 40_000]
+    records = [one(f"http://{k}", b) for k, b in enumerate(blocks)]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    for payload in ("true", "false"):
+        rows = warc.read_warc(spark, str(tmp_path), payload=payload).collect()
+        assert sorted((r.target_uri, r.payload_length) for r in rows) == sorted(
+            (f"http://{k}", 50_000 if k < 5 else 0) for k in range(6) for _ in range(2))
