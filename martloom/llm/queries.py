@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat, decontam, jaccard, langid, mixing, substrings, suffixes, token_files, vectors, warc
+from martloom.llm import chat, codebooks, decontam, jaccard, langid, mixing, substrings, suffixes, token_files, vectors, warc
 from martloom.llm.shared import scratch, stored, table
+from martloom.llm.codebook_sql import codebook_statement
 from martloom.llm.statements import STATEMENTS
 
 
@@ -94,6 +95,11 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sound vectors as product codes of 8 parts, with 16 entries a part after 6 rounds."""
+    return codebooks.code_table(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
 QUERIES = {
     "op2_column_wise_suffixes": suffix_dedup,
     "op8_fm_index_substrings": substring_dedup,
@@ -105,6 +111,8 @@ QUERIES = {
     "op4_multi_order_jaccard": jaccard_join,
     "op5_prefix_target_chat": chat_formatting,
     "op9_warc_source": warc_archive,
+    "op13_equal_average_codes": vector_codes,
 }
 
 ORACLES = {name: STATEMENTS[name] for name in QUERIES if name in STATEMENTS}
+ORACLES["op13_equal_average_codes"] = codebook_statement(parts=8, entries=16, rounds=6)

@@ -42,3 +42,17 @@ def file_system(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+def sized_join(big: DataFrame, small: DataFrame, key: str, max_rows: int = 1 << 20, salts: int = 64) -> DataFrame:
+    """``big`` left-joined to ``small`` on ``key`` (``small`` has one row a key). ``small`` is counted
+    first: up to ``max_rows`` rows it is broadcast; above, each row of ``big`` gets one of ``salts``
+    salts and ``small`` is repeated once a salt, so a key that holds a third of ``big`` is spread over
+    ``salts`` tasks."""
+    from pyspark.sql import functions as F
+
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), key, "left")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return big.withColumn("_salt", salt).join(spread, [key, "_salt"], "left").drop("_salt")
