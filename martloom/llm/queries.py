@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat, codebooks, decontam, jaccard, langid, mixing, substrings, suffixes, token_files, vectors, warc
+from martloom.llm import chat, codebooks, decontam, hostrules, jaccard, langid, mixing, substrings, suffixes, token_files, vectors, warc
 from martloom.llm.shared import scratch, stored, table
 from martloom.llm.codebook_sql import codebook_statement
+from martloom.llm.hostrules_sql import host_rules_statement
 from martloom.llm.statements import STATEMENTS
 
 
@@ -100,6 +101,14 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.code_table(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
 
 
+def host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules of every document and the verdict of its source's shrunk failure rate."""
+    judged = hostrules.judge(table(spark, sf_dir, "documents"), host="source", min_words=50,
+                             max_repeat_pct=50, max_host_rate=0.5)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
 QUERIES = {
     "op2_column_wise_suffixes": suffix_dedup,
     "op8_fm_index_substrings": substring_dedup,
@@ -111,8 +120,10 @@ QUERIES = {
     "op4_multi_order_jaccard": jaccard_join,
     "op5_prefix_target_chat": chat_formatting,
     "op9_warc_source": warc_archive,
+    "op12_host_quality_rules": host_quality,
     "op13_equal_average_codes": vector_codes,
 }
 
 ORACLES = {name: STATEMENTS[name] for name in QUERIES if name in STATEMENTS}
+ORACLES["op12_host_quality_rules"] = host_rules_statement(min_words=50, max_repeat_pct=50, max_host_rate=0.5)
 ORACLES["op13_equal_average_codes"] = codebook_statement(parts=8, entries=16, rounds=6)
