@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import chat, codebooks, decontam, hostrules, jaccard, langid, mixing, substrings, suffixes, token_files, vectors, warc
+from martloom.llm import alignment, chat, codebooks, decontam, hostrules, jaccard, langid, mixing, substrings, suffixes, token_files, vectors, warc
 from martloom.llm.shared import scratch, stored, table
 from martloom.llm.codebook_sql import codebook_statement
 from martloom.llm.hostrules_sql import host_rules_statement
@@ -109,6 +109,15 @@ def host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under both tokenizers: groups, links, and corpus-wide pair counts."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op2_column_wise_suffixes": suffix_dedup,
     "op8_fm_index_substrings": substring_dedup,
@@ -120,6 +129,7 @@ QUERIES = {
     "op4_multi_order_jaccard": jaccard_join,
     "op5_prefix_target_chat": chat_formatting,
     "op9_warc_source": warc_archive,
+    "op11_cross_tokenizer_counts": tokenizer_alignment,
     "op12_host_quality_rules": host_quality,
     "op13_equal_average_codes": vector_codes,
 }
