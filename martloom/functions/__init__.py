@@ -62,11 +62,6 @@ def rate_where(cond: Column, digits: int = 2) -> Column:
     return rnd(pct(F.count_if(cond), F.count(F.lit(1))), digits)
 
 
-def approx_median(c: Column | str) -> Column:
-    """Median from a bounded sketch: an element of the column, exact up to about 100,000 rows."""
-    return F.percentile_approx(as_col(c), 0.5, 100_000)
-
-
 def pearson(x: Column | str, y: Column | str) -> Column:
     """Correlation that is NULL for zero variance (``corr`` raises there under ANSI)."""
     x, y = as_col(x).cast("double"), as_col(y).cast("double")

@@ -10,7 +10,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martloom.functions import approx_median, money_sum, ratio, rnd
+from martloom.functions import money_sum, ratio, rnd
+from martloom.operators.ranking import with_group_quantile
 from martloom.functions.fixed import CLUSTER_RECOMMENDATIONS
 from martloom.operators.storage import settled
 
@@ -64,12 +65,14 @@ def profiles(clustered: DataFrame, naming: ClusterNaming = ClusterNaming()) -> D
     g = clustered.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("num_customers"),
         rnd(ratio(money_sum("total_revenue"), F.count(F.lit(1)))).alias("total_revenue_mean"),
-        rnd(approx_median("total_revenue")).alias("total_revenue_median"),
+        F.lit(None).cast("double").alias("total_revenue_median"),
         rnd(money_sum("total_revenue")).alias("total_revenue_sum"),
         *[rnd(F.avg(c)).alias(f"{c}_mean") for c in means],
-        approx_median("total_orders").alias("total_orders_median"),
+        F.lit(None).cast(clustered.schema["total_orders"].dataType).alias("total_orders_median"),
         rnd(F.avg("is_repeat_customer"), 4).alias("is_repeat_customer_mean"),
     )
+    g = with_group_quantile(g, clustered, ["cluster"], "total_revenue", "total_revenue_median", digits=2)
+    g = with_group_quantile(g, clustered, ["cluster"], "total_orders", "total_orders_median")
     valuable = F.col("total_revenue_mean") >= typical * naming.value_factor
     loyal = F.col("is_repeat_customer_mean") >= naming.loyal_rate
     return g.withColumn("cluster_name", cluster_name(valuable, loyal))

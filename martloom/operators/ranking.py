@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martloom.functions import as_col, rnd
-from martloom.operators.storage import settled
+from martloom.operators.storage import settled, written
 
 _IN_PARTITION = (1 << 33) - 1
 
@@ -161,3 +161,55 @@ def share_of_total(c: Column | str, digits: int = 2) -> Column:
     """Percentage of the column total. Only for frames with a bounded number of rows."""
     c = as_col(c)
     return rnd(F.try_divide(c * 100.0, F.sum(c).over(Window.partitionBy()).cast("double")), digits)
+
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5,
+                     out: str | None = None) -> DataFrame:
+    """Exact discrete quantile of ``value`` per group of ``keys``: the smallest value whose share of
+    the group's n non-null values at or below it reaches q, that is the value at 1-based place
+    ``max(ceil(n * q), 1)`` in ascending order (for q = 0.5 the lower median). One row per group that has a non-null value; null keys form groups of their own.
+
+    Rows are reduced to one per (group, distinct value) with its count, range partitioned on
+    (group, value) and written once, so a group with millions of distinct values is spread over many
+    partitions. Per partition and group the counts are summed; running sums over those blocks (at
+    most one row per partition a group) give each block's offset, and running counts inside a block
+    give each value's place. No task ever holds a whole group.
+    """
+    out = out or value
+    ks = list(keys) or ["_all"]
+    keyed = df.where(F.col(value).isNotNull()).select(
+        *([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
+    per_value = keyed.groupBy(*ks, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = written(
+        per_value.repartitionByRange(*ks, "_v").withColumn("_part", F.spark_partition_id()), "quantile")
+    by_key = Window.partitionBy(*ks)
+    blocks = ranged.groupBy("_part", *ks).agg(F.sum("_n").alias("_block")).select(
+        "_part", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)],
+        F.coalesce(F.sum("_block").over(by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_before"),
+        F.sum("_block").over(by_key).alias("_total"),
+    )
+    inside = Window.partitionBy("_part", *ks).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.withColumn("_cum", F.sum("_n").over(inside))
+    same = [running["_part"] == blocks["_part"]] + [running[k].eqNullSafe(blocks[f"_k{i}"]) for i, k in enumerate(ks)]
+    joined = running.join(blocks, same)
+    place = F.greatest(F.ceil(F.col("_total") * F.lit(float(q))), F.lit(1))
+    cum = F.col("_before") + F.col("_cum")
+    return joined.where((cum >= place) & (cum - F.col("_n") < place)).select(
+        *[running[k] for k in keys], F.col("_v").alias(out))
+
+
+def with_group_quantile(summary: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, out: str,
+                        q: float = 0.5, digits: int | None = None) -> DataFrame:
+    """``summary`` (one row per group of ``keys``, holding a placeholder column ``out``) with ``out``
+    set to the exact quantile of ``value`` over ``rows`` of the group; null where a group has none."""
+    found = grouped_quantile(rows, keys, value, q, "_q")
+    found = found.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "_q")
+    same = [summary[k].eqNullSafe(found[f"_g{i}"]) for i, k in enumerate(keys)]
+    if keys:
+        joined = summary.join(found, same, "left")
+    else:
+        # One summary row and at most one quantile row: a left join on a constant.
+        joined = summary.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one", "left")
+    q_col = rnd(F.col("_q"), digits) if digits is not None else F.col("_q")
+    return joined.select(*[q_col.alias(c) if c == out else F.col(c) for c in summary.columns])

@@ -29,3 +29,14 @@ def settled(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage, so later branches all read the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet below the shared folder and read back: lineage is cut, columns
+    are pruned and filters pushed down when it is read again."""
+    import posixpath
+    import uuid
+
+    path = posixpath.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

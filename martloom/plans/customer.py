@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from martloom.config import MartConfig
 from martloom.functions import (
-    approx_median,
     as_col,
     bins,
     cents,
@@ -26,6 +25,7 @@ from martloom.functions import (
 )
 from martloom.functions.fixed import AGE_BINS, RFM_SEGMENT_CODES
 from martloom.operators.ranking import (
+    with_group_quantile,
     literals,
     quantile_scalars,
     share_of_total,
@@ -198,11 +198,12 @@ def mart_customer_ltv(customers: DataFrame, facts: DataFrame, cfg: MartConfig) -
     states = measured.groupBy(*place).agg(
         F.count(F.lit(1)).alias("total_customers_state"),
         rnd(money_avg("total_revenue")).alias("avg_ltv_state"),
-        rnd(approx_median("total_revenue")).alias("median_ltv_state"),
+        F.lit(None).cast("double").alias("median_ltv_state"),
         rnd(money_sum("total_revenue")).alias("total_revenue_state"),
         rnd(F.avg("avg_order_value")).alias("avg_aov_state"),
         rate_where(F.col("is_repeat_customer")).alias("repurchase_rate_state"),
     )
+    states = with_group_quantile(states, measured, place, "total_revenue", "median_ltv_state", digits=2)
     # One row per state: windows over it are small. The join is left to the size-checked choice
     # between broadcast and shuffle.
     states = states.withColumn(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from martloom.config import MartConfig
 from martloom.functions import (
-    approx_median,
     as_timestamp,
     at_least,
     cents,
@@ -22,7 +21,7 @@ from martloom.functions import (
     rnd,
     week_start,
 )
-from martloom.operators.ranking import share_of_total
+from martloom.operators.ranking import share_of_total, with_group_quantile
 from martloom.operators.sequence import sequence_within
 from martloom.plans.common import completed
 
@@ -78,7 +77,7 @@ def mart_geographic_performance(ltv: DataFrame) -> DataFrame:
         F.count_if("is_repeat_customer").alias("repeat_customers"),
         rnd(money_sum("total_revenue")).alias("total_revenue"),
         rnd(money_avg("total_revenue")).alias("avg_ltv"),
-        rnd(approx_median("total_revenue")).alias("median_ltv"),
+        F.lit(None).cast("double").alias("median_ltv"),
         rnd(F.max("total_revenue")).alias("max_ltv"),
         rnd(F.min("total_revenue")).alias("min_ltv"),
         F.sum("total_orders").alias("total_orders"),
@@ -88,6 +87,8 @@ def mart_geographic_performance(ltv: DataFrame) -> DataFrame:
         rnd(F.avg("customer_lifespan_days")).alias("avg_customer_lifespan_days"),
         rnd(F.avg("orders_per_month")).alias("avg_orders_per_month"),
     )
+    states = with_group_quantile(states, ltv, ["customer_state", "customer_region"], "total_revenue",
+                                 "median_ltv", digits=2)
     everything = Window.partitionBy()
 
     def rank(c: str) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martloom.functions import approx_median, cents, from_cents, lookup, pct, ratio, rnd, to_long
+from martloom.functions import cents, from_cents, lookup, pct, ratio, rnd, to_long
 from martloom.functions.fixed import AGE_BINS, RFM_ACTIONS, RFM_DEFAULT_ACTION
-from martloom.operators.ranking import share_of_total, value_profile
+from martloom.operators.ranking import share_of_total, value_profile, with_group_quantile
 from martloom.operators.sequence import top_per_group
 from martloom.reports.common import (
     by_label, grouped, mean, money_mean, rate, report, rows, top, total, whole, with_share,
@@ -129,9 +129,10 @@ def rfm_regions(m, w):
 
 @report("customer_ltv", 1)
 def ltv_summary(m, w):
-    return whole(m, total_customers=rows(), avg_clv=money_mean("total_revenue"),
-                 median_clv=rnd(approx_median("total_revenue")),
-                 max_clv=rnd(F.max("total_revenue")), min_clv=rnd(F.min("total_revenue")))
+    summary = whole(m, total_customers=rows(), avg_clv=money_mean("total_revenue"),
+                    median_clv=F.lit(None).cast("double"),
+                    max_clv=rnd(F.max("total_revenue")), min_clv=rnd(F.min("total_revenue")))
+    return with_group_quantile(summary, m, [], "total_revenue", "median_clv", digits=2)
 
 
 @report("customer_ltv", 2)

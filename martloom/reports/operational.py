@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from martloom.functions import approx_median, at_least, bins, money_sum, pct, ranges, ratio, rnd
+from martloom.functions import at_least, bins, money_sum, pct, ranges, ratio, rnd
+from martloom.operators.ranking import with_group_quantile
 from martloom.plans.operational import INSTALLMENT_BINS
 from martloom.reports.common import (
     by_label, grouped, mean, money_mean, rate, report, rows, top, total, whole, with_share,
@@ -286,9 +287,11 @@ def repeat_windows(m, w):
 @report("repeat_purchase", 6)
 def repeat_statistics(m, w):
     gap = "days_to_second_purchase"
-    return whole(_returned(m), repeat_customers=rows(), avg_days_to_second_purchase=mean(gap),
-                 median_days_to_second_purchase=approx_median(gap),
-                 min_days_to_second_purchase=F.min(gap), max_days_to_second_purchase=F.max(gap))
+    returned = _returned(m)
+    summary = whole(returned, repeat_customers=rows(), avg_days_to_second_purchase=mean(gap),
+                    median_days_to_second_purchase=F.lit(None).cast(returned.schema[gap].dataType),
+                    min_days_to_second_purchase=F.min(gap), max_days_to_second_purchase=F.max(gap))
+    return with_group_quantile(summary, returned, [], gap, "median_days_to_second_purchase")
 
 
 # --- seller_performance ------------------------------------------------------------------

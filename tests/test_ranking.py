@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from martloom.operators.ranking import global_position, quantiles, value_profile, with_ntile
+from martloom.operators.ranking import (
+    global_position, grouped_quantile, quantiles, value_profile, with_group_quantile, with_ntile,
+)
 from martloom.operators.sequence import (
     keep_first, most_frequent, sequence_within, top_per_group,
 )
@@ -114,3 +116,44 @@ def test_top_per_group_is_cut_before_the_shuffle(spark):
     assert out.groupBy("v").count().agg(F.max("count")).first()[0] == 2
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_grouped_quantile_equals_percentile_disc(spark):
+    import duckdb
+
+    rows = [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 5), ("b", None), (None, 7), (None, 8), (None, 9),
+            ("c", 2), ("c", 2), ("c", 1), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k VARCHAR, v BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = sorted(map(tuple, grouped_quantile(df, ["k"], "v", q).collect()), key=repr)
+        want = con.sql(f"SELECT k, quantile_disc(v, {q}) FROM t WHERE v IS NOT NULL GROUP BY k").fetchall()
+        assert got == sorted(want, key=repr)
+    assert grouped_quantile(df.where("v < 0"), ["k"], "v").count() == 0
+
+
+def test_grouped_median_of_a_group_over_a_million_values(spark):
+    import duckdb
+
+    n = 1_100_000
+    big = spark.range(n + 7000).select(
+        F.when(F.col("id") < n, 0).otherwise(F.col("id") % 7).alias("k"),
+        ((F.col("id") * 7919) % 1_000_003).alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = sorted(map(tuple, grouped_quantile(big, ["k"], "v").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    pdf = big.toPandas()
+    assert got == sorted(duckdb.sql("SELECT k, quantile_disc(v, 0.5) FROM pdf GROUP BY k").fetchall())
+
+
+def test_with_group_quantile_fills_the_placeholder(spark):
+    df = spark.createDataFrame([("a", 1.005), ("a", 3.0), ("b", None), (None, 2.0)], "k string, v double")
+    summary = df.groupBy("k").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("med"))
+    got = {(r.k, r.n, r.med) for r in with_group_quantile(summary, df, ["k"], "v", "med", digits=2).collect()}
+    assert got == {("a", 2, 1.01), ("b", 1, None), (None, 1, 2.0)}
+    whole = df.agg(F.lit(None).cast("double").alias("med"), F.count("*").alias("n"))
+    assert [tuple(r) for r in with_group_quantile(whole, df, [], "v", "med").collect()] == [(2.0, 4)]
