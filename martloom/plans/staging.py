@@ -18,7 +18,7 @@ from martloom.functions.fixed import (
     STATE_REGION,
     UNKNOWN_REGION,
 )
-from martloom.operators.ranking import share_of_total
+from martloom.operators.ranking import grouped_quantile, share_of_total
 from martloom.operators.sequence import keep_first
 
 
@@ -109,7 +109,7 @@ def stg_geolocation(raw: DataFrame, directory: DataFrame, regions: DataFrame) ->
         return F.col(lat).between(*LATITUDE_RANGE) & F.col(lon).between(*LONGITUDE_RANGE)
 
     states = regions.select(F.col("state").alias("_state"))
-    seen = (
+    points = (
         raw.where(F.col("geolocation_zip_code_prefix").isNotNull())
         .where(inside("geolocation_lat", "geolocation_lng"))
         .where(~((F.col("geolocation_lat") == 0) & (F.col("geolocation_lng") == 0)))
@@ -122,12 +122,13 @@ def stg_geolocation(raw: DataFrame, directory: DataFrame, regions: DataFrame) ->
             "geolocation_lng",
         )
         .join(states, "_state", "left_semi")
-        .groupBy("zip", "city", "_state")
-        .agg(
-            F.percentile_approx("geolocation_lat", 0.5).alias("lat"),
-            F.percentile_approx("geolocation_lng", 0.5).alias("lng"),
-        )
     )
+    # Exact medians per (prefix, city, state): a prefix with millions of points is never one task.
+    group = ["zip", "city", "_state"]
+    lat = grouped_quantile(points, group, "geolocation_lat", 0.5, "lat")
+    lng = grouped_quantile(points, group, "geolocation_lng", 0.5, "lng").select(
+        *[F.col(k).alias(f"_{k}") for k in group], "lng")
+    seen = lat.join(lng, [lat[k].eqNullSafe(lng[f"_{k}"]) for k in group]).select(*group, "lat", "lng")
     official = (
         directory.where(F.col("cep").isNotNull() & F.col("sigla_uf").isNotNull())
         .where(inside("lat", "lon"))

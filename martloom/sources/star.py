@@ -17,6 +17,63 @@ def _days(n):
     return F.make_dt_interval(days=n.cast("int"))
 
 
+def _spot(key, i, lat_mul: int, lng_mul: int):
+    """A position inside the box, spread by key and point number."""
+    lat = F.lit(-30.0) + ((key * lat_mul + i * 11) % 3000).cast("double") / 100
+    lng = F.lit(-70.0) + ((key * lng_mul + i * 17) % 3000).cast("double") / 100
+    return lat, lng
+
+
+def geolocation_points(customers: DataFrame, suppliers: DataFrame, nations: DataFrame) -> DataFrame:
+    """Observed positions: one to three a customer and one a supplier, at the customer's or
+    supplier's postal prefix, so that a prefix has several points and sometimes several cities.
+    Some points lie outside the box, some at (0, 0), some have no prefix or an unknown state; city
+    and state are written in mixed case with stray blanks."""
+    key, i = F.col("k"), F.col("i")
+    outside, zero = (key + i) % 23 == 0, (key * 3 + i) % 29 == 0
+    lat, lng = _spot(key, i, 37, 53)
+    people = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 3).cast("int"))).alias("i"),
+        F.concat(F.lower("c_mktsegment"), F.lit(" do "), F.lower("n_name")).alias("_city"), "n_name",
+    ).select(
+        F.when((key + i) % 41 != 0, (key % 90000 + 1000).cast("int")).alias("geolocation_zip_code_prefix"),
+        F.when(outside, F.lit(12.5)).when(zero, F.lit(0.0)).otherwise(lat).alias("geolocation_lat"),
+        F.when(zero & ~outside, F.lit(0.0)).otherwise(lng).alias("geolocation_lng"),
+        F.when(key % 5 == 0, F.concat(F.lit("  "), F.col("_city"), F.lit(" "))).otherwise(F.col("_city"))
+        .alias("geolocation_city"),
+        F.when(key % 31 == 0, F.lit("XX")).when(key % 4 == 0, F.concat(F.lit("  "), F.lower("n_name")))
+        .otherwise(F.col("n_name")).alias("geolocation_state"),
+    )
+    lat, lng = _spot(key, F.lit(0), 41, 59)
+    firms = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("k"), "n_name").select(
+        (key % 90000 + 1000).cast("int").alias("geolocation_zip_code_prefix"),
+        lat.alias("geolocation_lat"), lng.alias("geolocation_lng"),
+        F.concat(F.lit("porto "), F.lower("n_name")).alias("geolocation_city"),
+        F.col("n_name").alias("geolocation_state"),
+    )
+    return people.unionByName(firms)
+
+
+def postal_directory(customers: DataFrame, nations: DataFrame) -> DataFrame:
+    """The official directory: two postal codes for every third customer's prefix, so that most
+    prefixes are missing; some entries lack a state or lie outside the box."""
+    key, j = F.col("k"), F.col("j")
+    prefix = (key % 90000 + 1000).cast("string")
+    return customers.where(F.col("c_custkey") % 3 == 0).join(
+        nations, F.col("c_nationkey") == F.col("n_nationkey")
+    ).select(F.col("c_custkey").alias("k"), "c_mktsegment", "n_name",
+             F.explode(F.array(F.lit(0), F.lit(1))).alias("j")).select(
+        F.concat(F.lpad(prefix, 5, "0"), F.lpad(((key * 7 + j) % 1000).cast("string"), 3, "0")).alias("cep"),
+        F.concat(F.lit("Cidade "), F.col("c_mktsegment")).alias("localidade"),
+        F.when(key % 13 != 0, F.col("n_name")).alias("sigla_uf"),
+        ((key % 90000 + 1000) * 7 % 100000).cast("string").alias("id_municipio"),
+        (F.lit(-50.0) + ((key * 19 + j * 3) % 1000).cast("double") / 100).alias("lon"),
+        F.when((key % 17 == 0) & (j == 0), F.lit(9.0))
+        .otherwise(F.lit(-20.0) + ((key * 13 + j * 5) % 1000).cast("double") / 100).alias("lat"),
+    )
+
+
 def star_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     def t(name: str) -> DataFrame:
         return spark.read.parquet(f"{base}/{name}.parquet")
@@ -106,7 +163,10 @@ def star_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
         (F.col("l_quantity").cast("bigint") % 12 + 1).alias("payment_installments"),
         ((F.col("_pc") + F.col("_fc")) / 100.0).alias("payment_value"),
     )
+    nations = t("nation").select("n_nationkey", "n_name")
     return {
+        "geolocation": geolocation_points(t("customer"), t("supplier"), nations),
+        "postal_directory": postal_directory(t("customer"), nations),
         "events": t("events").select("user_id", "ts"),
         "regions": places.select("state", "region"),
         "customers": customers,

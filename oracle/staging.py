@@ -90,7 +90,74 @@ SELECT d.order_id AS review_id, d.order_id, 1 + (7 * d.order_id + d.customer_id)
 FROM dated_orders d SEMI JOIN s_orders s ON d.order_id = s.order_id
 WHERE d.order_delivered_customer_date IS NOT NULL AND d.order_id % 10 < 9""")
 
+relation("raw_geolocation", """
+WITH people AS (
+  SELECT c_custkey AS k, i, lower(c_mktsegment) || ' do ' || lower(n_name) AS city, n_name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey, range(3) r(i) WHERE i <= c_custkey % 3
+)
+SELECT CASE WHEN (k + i) % 41 <> 0 THEN CAST(k % 90000 + 1000 AS INTEGER) END AS geolocation_zip_code_prefix,
+       CASE WHEN (k + i) % 23 = 0 THEN 12.5 WHEN (3 * k + i) % 29 = 0 THEN 0.0
+            ELSE -30.0 + CAST((k * 37 + i * 11) % 3000 AS DOUBLE) / 100 END AS geolocation_lat,
+       CASE WHEN (3 * k + i) % 29 = 0 AND (k + i) % 23 <> 0 THEN 0.0
+            ELSE -70.0 + CAST((k * 53 + i * 17) % 3000 AS DOUBLE) / 100 END AS geolocation_lng,
+       CASE WHEN k % 5 = 0 THEN '  ' || city || ' ' ELSE city END AS geolocation_city,
+       CASE WHEN k % 31 = 0 THEN 'XX' WHEN k % 4 = 0 THEN '  ' || lower(n_name) ELSE n_name END AS geolocation_state
+FROM people
+UNION ALL
+SELECT CAST(s_suppkey % 90000 + 1000 AS INTEGER), -30.0 + CAST((s_suppkey * 41) % 3000 AS DOUBLE) / 100,
+       -70.0 + CAST((s_suppkey * 59) % 3000 AS DOUBLE) / 100, 'porto ' || lower(n_name), n_name
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+
+relation("raw_directory", """
+SELECT lpad(CAST(c_custkey % 90000 + 1000 AS VARCHAR), 5, '0') || lpad(CAST((c_custkey * 7 + j) % 1000 AS VARCHAR), 3, '0') AS cep,
+       'Cidade ' || c_mktsegment AS localidade,
+       CASE WHEN c_custkey % 13 <> 0 THEN n_name END AS sigla_uf,
+       CAST((c_custkey % 90000 + 1000) * 7 % 100000 AS VARCHAR) AS id_municipio,
+       -50.0 + CAST((c_custkey * 19 + j * 3) % 1000 AS DOUBLE) / 100 AS lon,
+       CASE WHEN c_custkey % 17 = 0 AND j = 0 THEN 9.0 ELSE -20.0 + CAST((c_custkey * 13 + j * 5) % 1000 AS DOUBLE) / 100 END AS lat
+FROM customer JOIN nation ON c_nationkey = n_nationkey, range(2) r(j) WHERE c_custkey % 3 = 0""")
+
+relation("s_geolocation", """
+WITH seen AS (
+  SELECT lpad(CAST(geolocation_zip_code_prefix AS VARCHAR), 5, '0') AS zip,
+         trim(array_to_string(list_transform(string_split(lower(geolocation_city), ' '),
+                                             lambda w: upper(w[1:1]) || w[2:]), ' ')) AS city,
+         upper(trim(geolocation_state)) AS state, geolocation_lat AS lat, geolocation_lng AS lng
+  FROM raw_geolocation
+  WHERE geolocation_zip_code_prefix IS NOT NULL
+    AND geolocation_lat BETWEEN -34 AND 5 AND geolocation_lng BETWEEN -74 AND -34
+    AND NOT (geolocation_lat = 0 AND geolocation_lng = 0)
+    AND upper(trim(geolocation_state)) IN (SELECT state FROM places)
+), med AS (
+  SELECT zip, city, state, quantile_disc(lat, 0.5) AS lat, quantile_disc(lng, 0.5) AS lng
+  FROM seen GROUP BY zip, city, state
+), dir AS (
+  SELECT substr(cep, 1, 5) AS zip, localidade, sigla_uf, id_municipio, lat, lon
+  FROM raw_directory
+  WHERE cep IS NOT NULL AND sigla_uf IS NOT NULL AND lat BETWEEN -34 AND 5 AND lon BETWEEN -74 AND -34
+  QUALIFY row_number() OVER (PARTITION BY substr(cep, 1, 5) ORDER BY cep, localidade, sigla_uf, id_municipio, lat, lon) = 1
+), chosen AS (
+  SELECT m.zip AS geolocation_zip_code_prefix, coalesce(d.localidade, m.city) AS geolocation_city,
+         coalesce(d.sigla_uf, m.state) AS geolocation_state, coalesce(d.lat, m.lat) AS geolocation_lat,
+         coalesce(d.lon, m.lng) AS geolocation_lng, d.id_municipio AS municipality_id,
+         CASE WHEN d.localidade IS NOT NULL THEN 'directory' ELSE 'observed' END AS data_source
+  FROM med m LEFT JOIN dir d ON m.zip = d.zip
+)
+SELECT c.*, coalesce(p.region, 'Desconhecido') AS geolocation_region
+FROM chosen c LEFT JOIN places p ON c.geolocation_state = p.state
+QUALIFY row_number() OVER (PARTITION BY geolocation_zip_code_prefix
+    ORDER BY data_source <> 'directory', geolocation_state, geolocation_city, geolocation_lat, geolocation_lng) = 1""")
+
 STAGING = {
     f"stg_{name}": f"SELECT * FROM s_{name}"
-    for name in ("customers", "sellers", "products", "orders", "order_items", "payments", "reviews")
+    for name in ("customers", "sellers", "products", "geolocation", "orders", "order_items", "payments", "reviews")
+}
+STAGING |= {
+    "geolocation_source_coverage": "SELECT data_source, COUNT(*) AS total_zips, SHARE() AS pct FROM s_geolocation GROUP BY 1",
+    "geolocation_region_coverage":
+        "SELECT geolocation_region, COUNT(*) AS total_zips, SHARE() AS pct FROM s_geolocation GROUP BY 1",
+    "geolocation_validity": """SELECT COUNT(*) AS total_zips,
+        YES(geolocation_lat BETWEEN -34 AND 5 AND geolocation_lng BETWEEN -74 AND -34) AS valid_zips,
+        RATE(geolocation_lat BETWEEN -34 AND 5 AND geolocation_lng BETWEEN -74 AND -34) AS pct_valid
+        FROM s_geolocation""",
 }

@@ -150,3 +150,30 @@ def test_warehouse_uses_the_person_key_by_default(spark):
     assert [(r.customer_id, r.total_orders, r.total_revenue, r.is_repeat_customer) for r in base] == [("u", 2, 30.0, True)]
     by_order = Warehouse(spark, tables, MartConfig(as_of=CFG.as_of, customer_key="customer_id")).mart("customer_base")
     assert by_order.where(F.col("is_repeat_customer")).count() == 0 and by_order.count() == 2
+
+
+def test_geolocation_medians_and_ties(spark):
+    # Prefix 5: two cities in one state (the first city in order wins), an even number of points
+    # (the lower median), and a point at (0, 0) that does not count.
+    seen = [(5, -10.0, -50.0, "b town", "SP"), (5, -12.0, -52.0, "b town", "SP"), (5, -11.0, -51.0, "b town", "SP"),
+            (5, -13.0, -53.0, "b town", "SP"), (5, 0.0, 0.0, "b town", "SP"), (5, -20.0, -60.0, "a  city", " sp "),
+            (6, -5.0, -45.0, "x", "RJ"), (6, -5.0, -45.0, "x", "RJ"), (None, -5.0, -45.0, "y", "RJ")]
+    geo = staging.stg_geolocation(raw(spark, "geolocation", seen), raw(spark, "postal_directory", []),
+                                  staging.default_regions(spark))
+    got = {r.geolocation_zip_code_prefix: (r.geolocation_city, r.geolocation_lat, r.geolocation_lng)
+           for r in geo.collect()}
+    assert got == {"00005": ("A  City", -20.0, -60.0), "00006": ("X", -5.0, -45.0)}
+    b_town = staging.stg_geolocation(raw(spark, "geolocation", seen[:5]), raw(spark, "postal_directory", []),
+                                     staging.default_regions(spark)).first()
+    assert (b_town.geolocation_lat, b_town.geolocation_lng) == (-12.0, -52.0)
+
+
+def test_geolocation_inputs_cover_every_case(layers):
+    raw = layers.raw["geolocation"]
+    per_prefix = raw.groupBy("geolocation_zip_code_prefix").count().agg(F.max("count")).first()[0]
+    assert per_prefix >= 3
+    assert raw.where("geolocation_lat = 0 and geolocation_lng = 0").count() > 0
+    assert raw.where("geolocation_lat > 5").count() > 0
+    assert raw.where("geolocation_zip_code_prefix is null").count() > 0
+    sources = {r.data_source for r in layers.stg("geolocation").select("data_source").distinct().collect()}
+    assert sources == {"directory", "observed"}
