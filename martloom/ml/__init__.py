@@ -89,6 +89,12 @@ def split_summary(w):
     return churn.split_summary(_data(w))
 
 
+@model_query("churn_split_rows")
+def split_rows(w):
+    """Every customer of the churn population with its part."""
+    return churn.split_parts(_features(w).select("customer_id", "is_churned"))
+
+
 @model_query("churn_model_results")
 def model_results(w):
     return churn.model_results(_models(w))

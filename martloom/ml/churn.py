@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from martloom.functions import bins, day_diff, lookup, ratio, rnd, season
 from martloom.functions.fixed import BIG_STATES, REGION_SHORT
-from martloom.operators.ranking import literals, quantile_scalars
+from martloom.operators.ranking import global_position, literals, quantile_scalars
 from martloom.operators.storage import settled
 
 CANDIDATES = (
@@ -156,13 +156,32 @@ def select_features(df: DataFrame, limit: float = 0.8) -> list[str]:
     return [c for c in CANDIDATES if c not in dropped]
 
 
-def split(df: DataFrame, test_part: int = 5) -> tuple[DataFrame, DataFrame]:
-    """About one row in ``test_part`` of each label, chosen by a hash of the customer.
+def split_parts(df: DataFrame, test_part: int = 5, label: str = "is_churned") -> DataFrame:
+    """``df`` with ``part`` ('test' or 'train'): of each label's n rows, exactly
+    ``floor(n / test_part + 1/2)`` are test rows, chosen by the order of ``md5(customer_id:seed)``
+    (ties by customer_id), so every engine picks the same rows and shares per label differ from
+    ``1 / test_part`` by less than one row.
 
-    Unlike a sampled split it does not move when partitions do.
+    The place inside a label comes from a distributed position over (label, hash, customer): range
+    partitions and their offsets, never one task for a label; a label's first place is the number of
+    rows of smaller labels, read from a per-label count.
     """
-    bucket = F.pmod(F.xxhash64("customer_id", F.lit(SEED)), F.lit(test_part))
-    return df.where(bucket != 0), df.where(bucket == 0)
+    hashed = df.withColumn("_h", F.md5(F.concat(F.col("customer_id").cast("string"), F.lit(f":{SEED}"))))
+    placed = global_position(hashed, [F.col(label).asc_nulls_first(), F.col("_h"), F.col("customer_id")], "_pos")
+    counts = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    # One row a label.
+    before = Window.orderBy(F.col(label).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(label, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    quota = F.floor((F.col("_n") * 2 + test_part) / (2 * test_part))
+    joined = placed.join(F.broadcast(starts), placed[label].eqNullSafe(starts[label])).drop(starts[label])
+    part = F.when(F.col("_pos") - F.col("_start") <= quota, "test").otherwise("train")
+    return joined.withColumn("part", part).drop("_h", "_pos", "total_rows", "_n", "_start")
+
+
+def split(df: DataFrame, test_part: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Training and test part, stratified by label with an exact quota (``split_parts``)."""
+    parts = settled(split_parts(df, test_part))
+    return parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part")
 
 
 def with_weights(train: DataFrame) -> DataFrame:

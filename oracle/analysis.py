@@ -414,7 +414,15 @@ SELECT p.*, RND(ln(1 + recency), 6) AS recency_log, RND(sqrt(recency), 6) AS rec
     CASE WHEN abs((total_revenue - mv) / sv) > 3 THEN 1 ELSE 0 END AS is_revenue_outlier, RND((recency - mr) / sr, 6) AS recency_zscore
 FROM churn_people p, s""")
 
+relation("churn_parts", """
+SELECT customer_id, is_churned,
+    CASE WHEN row_number() OVER (PARTITION BY is_churned ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id)
+              <= (2 * count(*) OVER (PARTITION BY is_churned) + 5) // 10 THEN 'test' ELSE 'train' END AS part
+FROM churn_people""")
+
 ANALYSIS_SQL.update({
+    "churn_split_rows": "SELECT * FROM churn_parts",
+    "churn_split": """SELECT part, COUNT(*) AS customers, RND(AVG(is_churned), 4) AS churn_rate FROM churn_parts GROUP BY part""",
     "churn_reference_dates": f"""SELECT CAST(MIN(first_purchase_date) AS DATE) AS min_purchase_date, CAST(MAX(last_purchase_date) AS DATE) AS max_purchase_date,
         COUNT(DISTINCT customer_id) AS total_customers, """ + ", ".join(
         f"AVGR(CASE WHEN DAYS({AS_OF}, last_purchase_date) > {d} THEN 1.0 ELSE 0.0 END, 6) AS churn_rate_{d}" for d in (90, 180, 365)) + " FROM m_customer_ltv",

@@ -87,3 +87,19 @@ def test_clusters(layers):
 def test_cluster_recommendations(spark):
     named = spark.createDataFrame([("At Risk",), ("At Risk",), ("Regular",)], "cluster_name string")
     assert clusters.recommendations(named).count() == 4
+
+
+def test_stratified_split_has_an_exact_quota_per_label(spark):
+    import hashlib
+
+    from martloom.ml.churn import split_parts
+
+    rows = [(i, int(i % 7 == 0)) for i in range(1, 1234)] + [(5000, 1), (5001, 1)]
+    got = {r.customer_id: r.part for r in split_parts(spark.createDataFrame(rows, "customer_id long, is_churned int")).collect()}
+    for label in (0, 1):
+        ids = [i for i, y in rows if y == label]
+        quota = (2 * len(ids) + 5) // 10
+        assert abs(quota - len(ids) / 5) <= 0.5
+        ranked = sorted(ids, key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))
+        assert {i for i in ids if got[i] == "test"} == set(ranked[:quota])
+    assert len(got) == len(rows)
