@@ -26,8 +26,13 @@ def _features(w):
     return w.keep("churn_features", lambda: churn.churn_features(_population(w)))
 
 
+def _leaking(w) -> list[str]:
+    """Lineage of the feature plan before it is stored: the columns made from the label's inputs."""
+    return w.remember("churn_leaking", lambda: churn.leaking_columns(churn.churn_features(_population(w))))
+
+
 def _data(w) -> churn.ChurnData:
-    return w.remember("churn_data", lambda: churn.training_data(_features(w)))
+    return w.remember("churn_data", lambda: churn.training_data(_features(w), _leaking(w)))
 
 
 def _models(w) -> churn.ChurnModels:
@@ -79,8 +84,10 @@ def recency_crosstab(w):
 @model_query("churn_selected_features")
 def selected_features(w):
     """The candidates that stay, with a flag for those that give the label away."""
-    chosen = churn.select_features(churn.imputed(_features(w), churn.CANDIDATES))
-    rows = [(c, c in chosen, c in churn.LEAKING) for c in churn.CANDIDATES]
+    leaking = set(_leaking(w))
+    kept = [c for c in churn.CANDIDATES if c not in leaking]
+    chosen = churn.select_features(churn.imputed(_features(w), churn.CANDIDATES), kept)
+    rows = [(c, c in chosen, c in leaking) for c in churn.CANDIDATES]
     return w.spark.createDataFrame(rows, "feature string, is_selected boolean, is_leaking boolean")
 
 

@@ -19,7 +19,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from martloom.functions import bins, day_diff, lookup, ratio, rnd, season
+from martloom.functions import bins, day_diff, lookup, pearson, ratio, rnd, season
 from martloom.functions.fixed import BIG_STATES, REGION_SHORT
 from martloom.operators.ranking import global_position, literals, quantile_scalars
 from martloom.operators.storage import settled
@@ -31,9 +31,6 @@ CANDIDATES = (
     "revenue_zscore", "is_revenue_outlier", "value_time_ratio", "recency_value_interaction",
 )
 TEXT = ("purchase_season", "customer_state", "customer_region")
-# The label is a threshold on recency, so everything made from recency gives it away.
-LEAKING = ("recency", "recency_value_interaction", "value_time_ratio", "time_churn_prob",
-           "recency_sqrt", "recency_log", "recency_binned", "recency_zscore")
 HORIZON_DAYS = 713
 SEED = 42
 
@@ -137,23 +134,89 @@ def imputed(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.withColumns(fills) if fills else df
 
 
-def select_features(df: DataFrame, limit: float = 0.8) -> list[str]:
-    """Drops one numeric column of each pair with absolute correlation above ``limit``.
+def _seq(scala_seq) -> list:
+    return [scala_seq.apply(i) for i in range(scala_seq.size())]
 
-    Transformed columns go first; otherwise the one with the smaller variance goes.
+
+def _alias_edges(expr, edges: dict[int, set[int]]) -> None:
+    """Every alias inside ``expr``: its id -> ids of the attributes its expression reads."""
+    if expr.getClass().getSimpleName() == "Alias":
+        edges.setdefault(expr.exprId().id(), set()).update(
+            a.exprId().id() for a in _seq(expr.child().references().toSeq()))
+    for child in _seq(expr.children()):
+        _alias_edges(child, edges)
+
+
+def leaking_columns(features: DataFrame, label: str = "is_churned") -> list[str]:
+    """Columns of ``features`` made, at any depth of its plan, from what the label is made of.
+
+    Walks the analysed plan: every alias links its id to the attributes its expression reads, so
+    the columns read by the label's expression and everything computed from them (directly or via
+    other columns) are found. Columns read from storage start a new lineage.
+    """
+    plan = features._jdf.queryExecution().analyzed()
+    edges: dict[int, set[int]] = {}
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        nodes += _seq(node.children())
+        for expr in _seq(node.expressions()):
+            _alias_edges(expr, edges)
+    ids = {a.name(): a.exprId().id() for a in _seq(plan.output())}
+    inputs = edges.get(ids[label], set())
+
+    def reaches(start: int) -> bool:
+        seen, todo = set(), [start]
+        while todo:
+            i = todo.pop()
+            if i in inputs:
+                return True
+            if i not in seen:
+                seen.add(i)
+                todo += edges.get(i, ())
+        return False
+
+    return [c for c in features.columns if c != label and reaches(ids[c])]
+
+
+def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
+    """Pearson correlation of every pair of ``columns``, all in one pass over ``df`` (NULL where a
+    column does not vary)."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
+    if not pairs:
+        return {}
+    row = df.agg(*[pearson(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).first()
+    return {pair: row[f"c{k}"] for k, pair in enumerate(pairs)}
+
+
+TRANSFORMED = ("_log", "_sqrt", "zscore")
+
+
+def select_features(df: DataFrame, candidates: list[str] | tuple[str, ...] = CANDIDATES,
+                    limit: float = 0.8) -> list[str]:
+    """``candidates`` without one numeric column of each pair correlated beyond ``limit``.
+
+    Strong pairs are settled in matrix order (by the later column, then the earlier one); a pair
+    with a column already dropped is skipped. Of a pair, a transformed column goes (the later one
+    first); otherwise the one with the smaller sample variance, the earlier one on equal variance.
     """
-    numeric = [c for c in CANDIDATES if c not in TEXT]
-    vectors = VectorAssembler(inputCols=numeric, outputCol="v", handleInvalid="skip").transform(df)
-    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    variance = df.agg(*[F.var_samp(c).alias(c) for c in numeric]).first().asDict()
-    dropped: set[str] = set()
-    for i, a in enumerate(numeric):
-        for j, b in enumerate(numeric[:i]):
-            if not abs(matrix[i][j]) > limit or a in dropped or b in dropped:
-                continue
-            derived = [c for c in (a, b) if any(t in c for t in ("_log", "_sqrt", "zscore"))]
-            dropped.add(derived[0] if derived else min((a, b), key=lambda c: (variance[c], c == b)))
-    return [c for c in CANDIDATES if c not in dropped]
+    numeric = [c for c in candidates if c not in TEXT]
+    r = correlations(df, numeric)
+    variance = df.agg(*[F.var_samp(c).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    strong = sorted((numeric.index(a), numeric.index(b), a, b) for (a, b), v in r.items()
+                    if v is not None and abs(v) > limit)
+
+    def loser(later: str, earlier: str) -> str:
+        for c in (later, earlier):
+            if any(t in c for t in TRANSFORMED):
+                return c
+        return later if variance[later] < variance[earlier] else earlier
+
+    dropped: list[str] = []
+    for _, _, later, earlier in strong:
+        if later not in dropped and earlier not in dropped:
+            dropped.append(loser(later, earlier))
+    return [c for c in candidates if c not in dropped]
 
 
 def split_parts(df: DataFrame, test_part: int = 5, label: str = "is_churned") -> DataFrame:
@@ -236,10 +299,15 @@ def prepare(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
     return fitted.transform(df).select(*keep), slots
 
 
-def training_data(features_df: DataFrame) -> ChurnData:
-    """Imputed, selected and encoded features without the ones that give the label away."""
+def training_data(features_df: DataFrame, leaking: list[str] | None = None) -> ChurnData:
+    """Imputed, selected and encoded features without the ones that give the label away.
+
+    ``leaking`` defaults to the lineage of ``features_df``; pass the lineage of the unstored plan
+    when ``features_df`` was read back from storage. Leaking columns go before the correlation step.
+    """
     filled = settled(imputed(features_df, CANDIDATES))
-    chosen = [c for c in select_features(filled) if c not in LEAKING]
+    gone = set(leaking_columns(features_df) if leaking is None else leaking)
+    chosen = select_features(filled, [c for c in CANDIDATES if c not in gone])
     data, slots = prepare(filled, chosen)
     data = settled(data)
     train, test = split(data)

@@ -485,3 +485,44 @@ ANALYSIS_SQL.update({
     "prim_night_share": """SELECT user_id, COUNT(*) AS events, RND(AVG(CASE WHEN hour(ts) >= 20 OR hour(ts) < 6 THEN 1 ELSE 0 END) * 100, 2) AS pct_night,
         RND(AVG(CASE WHEN dayofweek(ts) IN (0, 6) THEN 1 ELSE 0 END) * 100, 2) AS pct_weekend FROM events GROUP BY 1""",
 })
+
+
+# Candidates in their order, and those made from recency (the label's input), stated here.
+CHURN_CANDIDATES = (
+    "recency", "recency_sqrt", "time_churn_prob", "total_revenue", "revenue_log", "is_high_value",
+    "is_low_value", "value_per_day", "purchase_year", "purchase_month", "purchase_dayofweek",
+    "is_weekend_purchase", "purchase_season", "customer_state", "customer_region", "is_big_state",
+    "revenue_zscore", "is_revenue_outlier", "value_time_ratio", "recency_value_interaction",
+)
+CHURN_MADE_FROM_RECENCY = ("recency", "recency_sqrt", "time_churn_prob", "value_per_day", "value_time_ratio",
+                           "recency_value_interaction")
+_TEXT = ("purchase_season", "customer_state", "customer_region")
+
+
+def _selection_sql() -> str:
+    numeric = [c for c in CHURN_CANDIDATES if c not in _TEXT and c not in CHURN_MADE_FROM_RECENCY]
+    pairs = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, '{a}' AS later, '{b}' AS earlier, corr({a}, {b}) AS r, "
+        f"var_samp({a}) AS va, var_samp({b}) AS vb FROM churn_feats"
+        for i, a in enumerate(numeric) for j, b in enumerate(numeric[:i]))
+    marked = " OR ".join(f"contains({{0}}, '{t}')" for t in ("_log", "_sqrt", "zscore"))
+    listed = ", ".join(f"('{c}', {k}, {str(c in CHURN_MADE_FROM_RECENCY).lower()})" for k, c in enumerate(CHURN_CANDIDATES))
+    return f"""SELECT * FROM (WITH RECURSIVE pairs AS ({pairs}),
+strong AS (
+  SELECT row_number() OVER (ORDER BY i, j) AS step, later, earlier,
+    CASE WHEN {marked.format('later')} THEN later WHEN {marked.format('earlier')} THEN earlier
+         WHEN va < vb THEN later ELSE earlier END AS loser
+  FROM pairs WHERE NOT isnan(r) AND abs(r) > 0.8
+), walk(step, dropped) AS (
+  SELECT 0, CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT s.step, CASE WHEN list_contains(w.dropped, s.later) OR list_contains(w.dropped, s.earlier) THEN w.dropped
+                      ELSE list_append(w.dropped, s.loser) END
+  FROM walk w JOIN strong s ON s.step = w.step + 1
+), final AS (SELECT dropped FROM walk ORDER BY step DESC LIMIT 1)
+SELECT feature, NOT leaking AND NOT list_contains((SELECT dropped FROM final), feature) AS is_selected,
+       leaking AS is_leaking
+FROM (VALUES {listed}) t(feature, k, leaking))"""
+
+
+ANALYSIS_SQL["churn_selected_features"] = _selection_sql()

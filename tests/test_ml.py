@@ -51,11 +51,30 @@ def test_weights_balance_the_labels(people):
     assert sums[0].w == pytest.approx(sums[1].w)
 
 
-def test_no_leaking_feature_is_trained_on(models):
-    assert not set(models.features) & set(churn.LEAKING)
+def test_no_leaking_feature_is_trained_on(models, people):
+    assert not set(models.features) & set(churn.leaking_columns(people))
+    assert "value_per_day" not in models.features
     assert len(models.slots) == models.prepared.first().features.size
 
 
+def test_lineage_finds_everything_made_from_recency(people):
+    leaking = set(churn.leaking_columns(people))
+    assert {"recency", "recency_log", "recency_sqrt", "recency_binned", "time_churn_prob", "value_per_day",
+            "value_time_ratio", "recency_value_interaction", "recency_zscore"} <= leaking
+    assert not leaking & {"total_revenue", "revenue_log", "purchase_month", "customer_state", "is_high_value",
+                          "tenure_days", "is_churned"}
+
+
+def test_no_kept_feature_moves_with_recency(layers, models):
+    def at(day):
+        people = churn.churn_customers(layers.mart("customer_ltv"), day, None)
+        return churn.churn_features(people).select("customer_id", *models.features)
+
+    now, later = at(dt.date(2001, 8, 2)), at(dt.date(2001, 9, 1))
+    assert now.count() == later.count() > 0
+    assert now.exceptAll(later).count() == 0
+
+
 def test_results_agree_with_the_confusion_matrix(models):
     name = churn.best_model(models)
     row = churn.model_results(models).where(F.col("model") == name).first()
