@@ -136,3 +136,18 @@ def test_query_against_brute_force(spark, sf):
     rows = [tuple(r) for r in docs]
     out = QUERIES["op11_cross_tokenizer_counts"](spark, f"/root/testdata/{sf}").collect()
     assert sorted((tuple(r) for r in out), key=repr) == brute(rows)
+
+
+def test_a_ids_equal_the_tokenizers_library():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from martloom.llm.alignment import token_bytes
+
+    enc = token_bytes(A, B)[0]
+    lib = Tokenizer.from_file(A)
+    lib.encode_special_tokens = True
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist() if t]
+    texts += [r[1] for r in ROWS if r[1]]
+    for t in texts:
+        assert enc.encode_ordinary(" " + t) == lib.encode(" " + t, add_special_tokens=False).ids
