@@ -96,6 +96,13 @@ def split_summary(w):
     return churn.split_summary(_data(w))
 
 
+@model_query("churn_encoding_slots")
+def encoding_slots(w):
+    """The slots of the model's input vector, in order."""
+    rows = list(enumerate(_data(w).slots))
+    return w.spark.createDataFrame(rows, "position int, slot string")
+
+
 @model_query("churn_split_rows")
 def split_rows(w):
     """Every customer of the churn population with its part."""

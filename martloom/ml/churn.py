@@ -10,10 +10,9 @@ import datetime as dt
 import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -256,7 +255,8 @@ def with_weights(train: DataFrame) -> DataFrame:
 
 @dataclass
 class ChurnData:
-    """Encoded customers and their division into training and test part."""
+    """Encoded customers and their division into training and test part; the encoding is learned
+    from the training part."""
 
     features: list[str]
     slots: list[str]
@@ -274,29 +274,46 @@ class ChurnModels(ChurnData):
         return scored.withColumn("churn_probability", vector_to_array("probability")[1])
 
 
-def prepare(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
-    """One-hot text columns (first category dropped), scaled numbers, one vector per customer."""
-    text = [c for c in features if c in TEXT]
-    numbers = [c for c in features if c not in TEXT]
-    stages = [
-        StringIndexer(inputCols=text, outputCols=[f"{c}_i" for c in text],
-                      stringOrderType="alphabetDesc", handleInvalid="keep"),
-        OneHotEncoder(inputCols=[f"{c}_i" for c in text], outputCols=[f"{c}_v" for c in text]),
-        VectorAssembler(inputCols=numbers, outputCol="numbers_raw", handleInvalid="keep"),
-        StandardScaler(inputCol="numbers_raw", outputCol="numbers", withMean=True, withStd=True),
-        VectorAssembler(inputCols=[*[f"{c}_v" for c in text], "numbers"], outputCol="features"),
-    ] if text else [
-        VectorAssembler(inputCols=numbers, outputCol="numbers_raw", handleInvalid="keep"),
-        StandardScaler(inputCol="numbers_raw", outputCol="features", withMean=True, withStd=True),
-    ]
-    fitted = Pipeline(stages=stages).fit(df)
-    slots: list[str] = []
-    if text:
-        for c, labels in zip(text, fitted.stages[0].labelsArray):
-            slots += [f"{c}_{label}" for label in labels]
-    slots += numbers
-    keep = ["customer_id", "customer_state", "total_revenue", "is_churned", "features"]
-    return fitted.transform(df).select(*keep), slots
+def categorical(df: DataFrame, features: list[str], few: int = 10) -> list[str]:
+    """Text columns, and number columns with fewer than ``few`` distinct values over all rows (each
+    test reads at most ``few`` distinct values)."""
+    return [c for c in features
+            if c in TEXT or df.where(F.col(c).isNotNull()).select(c).distinct().limit(few).count() < few]
+
+
+def fit_encoder(train: DataFrame, features: list[str], categories: list[str]) -> tuple[list[Column], list[str]]:
+    """Columns and slot names of the encoding, learned from ``train`` alone.
+
+    Numbers first, in feature order, scaled by the training mean and population deviation (a
+    constant column becomes 0). Then, per categorical column in feature order, one slot for every
+    training category but the first (ascending), and a last slot ``<column>_unknown`` for values
+    not seen in training or null, so that no test row loses its category silently.
+    """
+    numbers = [c for c in features if c not in categories]
+    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in numbers],
+                      *[F.stddev_pop(c).alias(f"s_{c}") for c in numbers]).first() if numbers else None
+    cols, slots = [], []
+    for c in numbers:
+        centred = F.col(c).cast("double") - F.lit(stats[f"m_{c}"])
+        cols.append(centred / F.lit(stats[f"s_{c}"]) if stats[f"s_{c}"] else centred * 0.0)
+        slots.append(c)
+    for c in categories:
+        # A categorical column has few values (fewer than ten, or a text dimension such as states).
+        seen = sorted(r[0] for r in train.where(F.col(c).isNotNull()).select(c).distinct().collect())
+        for v in seen[1:]:
+            cols.append(F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)))
+            slots.append(f"{c}_{v}")
+        known = F.col(c).isin(*seen) if seen else F.lit(False)
+        cols.append(F.when(F.col(c).isNull() | ~known, 1.0).otherwise(0.0))
+        slots.append(f"{c}_unknown")
+    return cols, slots
+
+
+def encoded(df: DataFrame, cols: list[Column]) -> DataFrame:
+    slots = df.select("customer_id", "customer_state", "total_revenue", "is_churned",
+                      *[c.alias(f"_s{i}") for i, c in enumerate(cols)])
+    return VectorAssembler(inputCols=[f"_s{i}" for i in range(len(cols))], outputCol="features").transform(
+        slots).select("customer_id", "customer_state", "total_revenue", "is_churned", "features")
 
 
 def training_data(features_df: DataFrame, leaking: list[str] | None = None) -> ChurnData:
@@ -308,10 +325,10 @@ def training_data(features_df: DataFrame, leaking: list[str] | None = None) -> C
     filled = settled(imputed(features_df, CANDIDATES))
     gone = set(leaking_columns(features_df) if leaking is None else leaking)
     chosen = select_features(filled, [c for c in CANDIDATES if c not in gone])
-    data, slots = prepare(filled, chosen)
-    data = settled(data)
-    train, test = split(data)
-    return ChurnData(chosen, slots, data, with_weights(train), test)
+    train, test = split(filled)
+    cols, slots = fit_encoder(train, chosen, categorical(filled, chosen))
+    train, test = settled(encoded(train, cols)), settled(encoded(test, cols))
+    return ChurnData(chosen, slots, train.unionByName(test), with_weights(train), test)
 
 
 def train_models(data: ChurnData, trees: int = 100, rounds: int = 100) -> ChurnModels:

@@ -525,4 +525,31 @@ SELECT feature, NOT leaking AND NOT list_contains((SELECT dropped FROM final), f
 FROM (VALUES {listed}) t(feature, k, leaking))"""
 
 
-ANALYSIS_SQL["churn_selected_features"] = _selection_sql()
+relation("churn_selection", _selection_sql())
+ANALYSIS_SQL["churn_selected_features"] = "SELECT * FROM churn_selection"
+
+
+def _slots_sql() -> str:
+    usable = [c for c in CHURN_CANDIDATES if c not in CHURN_MADE_FROM_RECENCY]
+    listed = ", ".join(f"('{c}', {k}, {str(c in _TEXT).lower()})" for k, c in enumerate(CHURN_CANDIDATES))
+    distinct = " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS nd FROM churn_feats"
+                                  for c in usable if c not in _TEXT)
+    cats = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS v, row_number() OVER (ORDER BY {c}) AS r "
+        f"FROM (SELECT DISTINCT {c} FROM churn_train WHERE {c} IS NOT NULL)" for c in usable)
+    return f"""SELECT * FROM (WITH cand(feature, k, is_text) AS (VALUES {listed}),
+sel AS (SELECT c.* FROM cand c JOIN churn_selection s ON s.feature = c.feature WHERE s.is_selected),
+nd AS ({distinct}),
+kinds AS (SELECT sel.*, is_text OR coalesce(nd.nd, 0) < 10 AS is_cat FROM sel LEFT JOIN nd ON sel.feature = nd.feature),
+cats AS ({cats}),
+slots AS (
+  SELECT k * 1000 AS o, feature AS slot FROM kinds WHERE NOT is_cat
+  UNION ALL SELECT 100000 + k * 1000 + r, kinds.feature || '_' || v FROM kinds JOIN cats ON kinds.feature = cats.feature
+            WHERE is_cat AND r > 1
+  UNION ALL SELECT 100000 + k * 1000 + 999, feature || '_unknown' FROM kinds WHERE is_cat)
+SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS position, slot FROM slots)"""
+
+
+relation("churn_train", """
+SELECT f.* FROM churn_feats f JOIN churn_parts p ON f.customer_id = p.customer_id WHERE p.part = 'train'""")
+ANALYSIS_SQL["churn_encoding_slots"] = _slots_sql()
