@@ -11,7 +11,6 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from martloom.functions import bins, day_diff, lookup, pearson, ratio, rnd, season
 from martloom.functions.fixed import BIG_STATES, REGION_SHORT
-from martloom.operators.ranking import global_position, literals, quantile_scalars
+from martloom.operators.ranking import global_position, literals, quantile_scalars, value_profile
 from martloom.operators.storage import settled
 
 CANDIDATES = (
@@ -381,7 +380,6 @@ def confusion(m: ChurnModels, name: str) -> DataFrame:
 
 def model_results(m: ChurnModels) -> DataFrame:
     """Accuracy, AUC, precision, recall and F1 on the test part, with the acceptance checks."""
-    auc = BinaryClassificationEvaluator(labelCol="is_churned", metricName="areaUnderROC")
     y, p = F.col("is_churned"), F.col("prediction")
     out = None
     for name in m.models:
@@ -390,7 +388,7 @@ def model_results(m: ChurnModels) -> DataFrame:
         precision, recall = ratio(found, F.count_if(p == 1)), ratio(found, F.count_if(y == 1))
         row = scored.agg(
             F.lit(name).alias("model"), rnd(ratio(right, F.count(F.lit(1))), 3).alias("accuracy"),
-            F.lit(round(auc.evaluate(scored), 3)).alias("roc_auc"), rnd(precision, 3).alias("precision"),
+            F.lit(_rounded(exact_auc(scored), 3)).cast("double").alias("roc_auc"), rnd(precision, 3).alias("precision"),
             rnd(recall, 3).alias("recall"),
             rnd(ratio(precision * recall * 2, precision + recall), 3).alias("f1_score"))
         out = row if out is None else out.unionByName(row)
@@ -415,19 +413,44 @@ def feature_importance(m: ChurnModels, name: str, k: int = 15) -> DataFrame:
     return table.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def curve_points(m: ChurnModels, name: str, steps: int = 100) -> DataFrame:
-    """ROC and precision-recall points at ``steps`` score thresholds."""
-    binned = m.predicted(name).groupBy(
-        F.floor(F.col("churn_probability") * steps).alias("step")
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum("is_churned").alias("pos"))
-    down, everything = Window.orderBy(F.desc("step")), Window.partitionBy()  # at most steps + 1 rows
-    n, pos = F.sum("n").over(down), F.sum("pos").over(down)
-    all_n, all_pos = F.sum("n").over(everything), F.sum("pos").over(everything)
-    return binned.select(
-        (F.col("step") / F.lit(float(steps))).alias("threshold"),
-        rnd(ratio(n - pos, all_n - all_pos), 6).alias("false_positive_rate"),
-        rnd(ratio(pos, all_pos), 6).alias("true_positive_rate"),
-        rnd(ratio(pos, n), 6).alias("precision"))
+def roc_points(scored: DataFrame, score: str = "churn_probability", label: str = "is_churned") -> DataFrame:
+    """One ROC and precision-recall point per distinct score (ties are one step), from the highest
+    score down: rows at or above the threshold count as predicted churn. ``area`` is the point's
+    trapezoid under the ROC curve, so the sum of ``area`` is the exact AUC.
+
+    Running counts come from the value profile (range partitions and their offsets), so no task
+    holds all scores; the counts of the point itself come from a per-score aggregate joined on the
+    score. A label without rows gives null rates.
+    """
+    rows = scored.select(score, F.col(label).cast("long").alias("_y"))
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")).first()
+    positives, negatives = totals.pos or 0, totals.n - (totals.pos or 0)
+    per_score = rows.groupBy(score).agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_p"))
+    running = value_profile(rows, score, sums=["_y"], descending=True).join(per_score, score)
+    tp, fp = F.col("cum__y"), F.col("cum_n") - F.col("cum__y")
+    here_fp = F.col("_n") - F.col("_p")
+    neg, pos = F.lit(float(negatives) or None), F.lit(float(positives) or None)
+    return running.select(
+        F.col(score).alias("threshold"),
+        rnd(fp / neg, 6).alias("false_positive_rate"),
+        rnd(tp / pos, 6).alias("true_positive_rate"),
+        rnd(tp / F.col("cum_n"), 6).alias("precision"),
+        (here_fp / neg * (tp * 2 - F.col("_p")) / (pos * 2)).alias("area"),
+    )
+
+
+def exact_auc(scored: DataFrame, score: str = "churn_probability", label: str = "is_churned") -> float | None:
+    """Area under the ROC curve by trapezoids over all distinct scores."""
+    return roc_points(scored, score, label).agg(F.sum("area")).first()[0]
+
+
+def _rounded(v: float | None, digits: int) -> float | None:
+    return None if v is None else round(v, digits)
+
+
+def curve_points(m: ChurnModels, name: str) -> DataFrame:
+    """ROC and precision-recall points of the model's test scores, one per distinct score."""
+    return roc_points(m.predicted(name)).drop("area")
 
 
 def scores(m: ChurnModels, name: str) -> DataFrame:

@@ -122,3 +122,32 @@ def test_stratified_split_has_an_exact_quota_per_label(spark):
         ranked = sorted(ids, key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))
         assert {i for i in ids if got[i] == "test"} == set(ranked[:quota])
     assert len(got) == len(rows)
+
+
+def test_roc_points_equal_sql_and_auc_equals_pair_counting(spark):
+    import random
+
+    import duckdb
+
+    rnd_ = random.Random(4)
+    rows = [(i, round(rnd_.random(), 2), int(rnd_.random() < 0.4)) for i in range(400)]
+    rows += [(1000 + i, 0.5, i % 2) for i in range(20)]  # a tie across labels
+    scored = spark.createDataFrame(rows, "customer_id long, churn_probability double, is_churned int")
+    got = sorted(tuple(r) for r in churn.roc_points(scored).drop("area").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE s (customer_id BIGINT, churn_probability DOUBLE, is_churned INTEGER)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?)", rows)
+    con.execute("CREATE MACRO r(x) AS CAST(ROUND(CAST(x AS DECIMAL(28, 8)), 6) AS DOUBLE)")
+    want = con.sql("""
+        WITH t AS (SELECT churn_probability AS th, count(*) AS n, sum(is_churned) AS p FROM s GROUP BY 1),
+        c AS (SELECT th, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM t
+              WINDOW w AS (ORDER BY th DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        tot AS (SELECT count(*) AS n, sum(is_churned) AS p FROM s)
+        SELECT th, r((cn - cp) / (tot.n - tot.p)), r(cp / tot.p), r(cp / cn) FROM c, tot
+    """).fetchall()
+    assert got == sorted(tuple(float(x) for x in r) for r in want)
+    pos = [p for _, p, y in rows if y == 1]
+    neg = [p for _, p, y in rows if y == 0]
+    pairs = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert churn.exact_auc(scored) == pytest.approx(pairs, abs=1e-12)
+    assert churn.exact_auc(scored.where("is_churned = 0")) is None
