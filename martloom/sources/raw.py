@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Column names and types of the raw inputs (fixed values; "lenght" is spelt so in the data).
 RAW_SCHEMAS = {
@@ -51,6 +51,48 @@ def read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
     )
 
 
+def read_csv_checked(spark: SparkSession, path: str, name: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)`` of a raw CSV table; no row is lost.
+
+    Every field is first read as text (quoted fields may hold quotes and line breaks), so a record
+    with too few or too many fields is set apart by the reader itself. Each field is then converted
+    with ``try_cast`` to the model's type; a record whose field does not convert, or whose ``key``
+    (default: the first column) is missing, is a reject. Rejects carry the file, the reason (the
+    first failing check, in column order), the key as read and the record's text.
+    """
+    schema = raw_schema(name)
+    key = key or schema.fields[0].name
+    text = StructType([StructField(f.name, StringType()) for f in schema] + [StructField("_corrupt", StringType())])
+    raw = (
+        spark.read.schema(text)
+        .option("header", True)
+        .option("multiLine", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt")
+        .csv(path)
+        .withColumn("_file", F.col("_metadata.file_path"))
+    )
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema}
+    failures = [
+        F.when(F.col(f.name).isNotNull() & typed[f.name].isNull(),
+               F.concat(F.lit(f"{f.name}: not {f.dataType.simpleString()}: "), F.col(f.name)))
+        for f in schema
+    ]
+    reason = F.coalesce(
+        F.when(F.col("_corrupt").isNotNull(), F.lit(f"fields: not {len(schema.fields)}")),
+        F.when(F.col(key).isNull() | (F.trim(F.col(key)) == ""), F.lit(f"{key}: missing")),
+        *failures,
+    )
+    checked = raw.withColumn("_reason", reason)
+    rows = checked.where(F.col("_reason").isNull()).select(*[typed[f.name].alias(f.name) for f in schema])
+    record = F.coalesce(F.col("_corrupt"), F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("")) for f in schema]))
+    rejects = checked.where(F.col("_reason").isNotNull()).select(
+        F.col("_file").alias("file"), F.col(key).alias("key"), F.col("_reason").alias("reason"), record.alias("record"))
+    return rows, rejects
+
+
 def read_parquet(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Parquet checked against the model: a missing column fails here, not in a mart."""
     df = spark.read.parquet(path)

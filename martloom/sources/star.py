@@ -178,3 +178,22 @@ def star_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
         "payments": payments,
         "reviews": reviews,
     }
+
+
+def reviews_export(reviews: DataFrame) -> DataFrame:
+    """Raw reviews as the text a CSV export holds, with the faults such exports have: comments with
+    line breaks, quotes and commas (every third review), a score that is a word (review ids divisible
+    by 97), a date that is not one (by 89) and a missing review id (by 83)."""
+    key = F.col("review_id")
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    return reviews.select(
+        F.when(key % 83 != 0, key.cast("string")).alias("review_id"),
+        F.col("order_id").cast("string").alias("order_id"),
+        F.when(key % 97 == 0, F.lit("five")).otherwise(F.col("review_score").cast("string")).alias("review_score"),
+        F.col("review_comment_title"),
+        F.when(key % 3 == 0, F.concat(F.col("review_comment_message"), F.lit('\n"noted", twice')))
+        .otherwise(F.col("review_comment_message")).alias("review_comment_message"),
+        F.when(key % 89 == 0, F.lit("soon")).otherwise(F.date_format("review_creation_date", stamp))
+        .alias("review_creation_date"),
+        F.date_format("review_answer_timestamp", stamp).alias("review_answer_timestamp"),
+    )

@@ -161,3 +161,27 @@ STAGING |= {
         RATE(geolocation_lat BETWEEN -34 AND 5 AND geolocation_lng BETWEEN -74 AND -34) AS pct_valid
         FROM s_geolocation""",
 }
+
+
+relation("raw_reviews", """
+SELECT o_orderkey AS k, 1 + (7 * o_orderkey + o_custkey) % 5 AS review_score,
+       CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || chr(10) || '"noted", twice' END AS review_comment_message,
+       o_orderdate + to_days(CAST(8 + o_orderkey % 37 + 2 AS INT)) AS review_creation_date,
+       o_orderdate + to_days(CAST(8 + o_orderkey % 37 + 4 AS INT)) AS review_answer_timestamp
+FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 < 9""")
+
+STAGING |= {
+    "raw_reviews_csv_rows": """SELECT CAST(k AS VARCHAR) AS review_id, CAST(k AS VARCHAR) AS order_id,
+        CAST(review_score AS INTEGER) AS review_score, CAST(NULL AS VARCHAR) AS review_comment_title,
+        review_comment_message, review_creation_date, review_answer_timestamp
+        FROM raw_reviews WHERE k % 83 <> 0 AND k % 97 <> 0 AND k % 89 <> 0""",
+    "raw_reviews_csv_rejects": """SELECT CASE WHEN k % 83 <> 0 THEN CAST(k AS VARCHAR) END AS key,
+        CASE WHEN k % 83 = 0 THEN 'review_id: missing' WHEN k % 97 = 0 THEN 'review_score: not int: five'
+             ELSE 'review_creation_date: not timestamp_ntz: soon' END AS reason,
+        concat_ws(',', CASE WHEN k % 83 <> 0 THEN CAST(k AS VARCHAR) ELSE '' END, CAST(k AS VARCHAR),
+            CASE WHEN k % 97 = 0 THEN 'five' ELSE CAST(review_score AS VARCHAR) END, '',
+            coalesce(review_comment_message, ''),
+            CASE WHEN k % 89 = 0 THEN 'soon' ELSE strftime(review_creation_date, '%Y-%m-%d %H:%M:%S') END,
+            strftime(review_answer_timestamp, '%Y-%m-%d %H:%M:%S')) AS record
+        FROM raw_reviews WHERE k % 83 = 0 OR k % 97 = 0 OR k % 89 = 0""",
+}

@@ -62,3 +62,26 @@ def test_outliers(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 5, 100)], "v double")
     r = iqr_outliers(df, "v").first()
     assert (r.q1, r.q3, r.outliers) == (2.25, 4.75, 1)
+
+
+def test_checked_csv_sets_every_fault_apart(spark, tmp_path):
+    from martloom.sources.raw import read_csv_checked
+
+    path = tmp_path / "reviews.csv"
+    path.write_text(
+        "review_id,order_id,review_score,review_comment_title,review_comment_message,"
+        "review_creation_date,review_answer_timestamp\n"
+        'r1,o1,5,,"two\nlines, ""quoted""",2018-01-02 10:00:00,2018-01-03 10:00:00\n'
+        "r2,o2,five,,,2018-01-02 10:00:00,2018-01-03 10:00:00\n"
+        ",o3,4,,,2018-01-02 10:00:00,2018-01-03 10:00:00\n"
+        "r4,o4,3\n"
+        "r5,o5,3,,,2018-01-02 10:00:00,2018-01-03 10:00:00,extra\n"
+        "r6,o6,2,,,yesterday,2018-01-03 10:00:00\n"
+    )
+    rows, rejects = read_csv_checked(spark, str(path), "reviews")
+    (good,) = rows.collect()
+    assert (good.review_id, good.review_score, good.review_comment_message) == ("r1", 5, 'two\nlines, "quoted"')
+    got = {r.key: r.reason for r in rejects.collect()}
+    assert got == {"r2": "review_score: not int: five", None: "review_id: missing", "r4": "fields: not 7",
+                   "r5": "fields: not 7", "r6": "review_creation_date: not timestamp_ntz: yesterday"}
+    assert all(r.file.endswith("reviews.csv") and r.record for r in rejects.collect())
