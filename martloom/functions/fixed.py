@@ -28,17 +28,17 @@ PAYMENT_TYPES = ("credit_card", "debit_card", "boleto", "voucher")
 # Three-digit recency/frequency/monetary codes of each segment; a code listed under two
 # segments belongs to the first one.
 RFM_SEGMENT_CODES = {
-    "Champions": "555 554 544 545 454 455 445",
-    "Loyal Customers": "543 444 435 355 354 345 344 335",
-    "Potential Loyalists": "553 551 552 541 542 533 532 531",
-    "New Customers": "512 511 422 421 412 411 311",
-    "Promising": "525 524 523 522 521 515 514 513",
-    "Need Attention": "535 534 443 434 343 334 325 324",
-    "About to Sleep": "331 321 312 221 213 231 241 251",
-    "At Risk": "255 254 245 244 253 252 243 242 235 234",
-    "Can't Lose Them": "155 154 144 214 215 115 114 113",
-    "Hibernating": "332 322 231 241 335 333 323 322",
-    "Lost": "111 112 121 131 141 151 122 132 142 152 211 212 223",
+    "Champions": ("555", "554", "544", "545", "454", "455", "445"),
+    "Loyal Customers": ("543", "444", "435", "355", "354", "345", "344", "335"),
+    "Potential Loyalists": ("553", "551", "552", "541", "542", "533", "532", "531"),
+    "New Customers": ("512", "511", "422", "421", "412", "411", "311"),
+    "Promising": ("525", "524", "523", "522", "521", "515", "514", "513"),
+    "Need Attention": ("535", "534", "443", "434", "343", "334", "325", "324"),
+    "About to Sleep": ("331", "321", "312", "221", "213", "231", "241", "251"),
+    "At Risk": ("255", "254", "245", "244", "253", "252", "243", "242", "235", "234"),
+    "Can't Lose Them": ("155", "154", "144", "214", "215", "115", "114", "113"),
+    "Hibernating": ("332", "322", "231", "241", "335", "333", "323", "322"),
+    "Lost": ("111", "112", "121", "131", "141", "151", "122", "132", "142", "152", "211", "212", "223"),
 }
 
 RFM_ACTIONS = {

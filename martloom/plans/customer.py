@@ -129,7 +129,7 @@ def rfm_codes() -> dict[str, str]:
     """Code -> segment; the first segment that lists a code keeps it."""
     table: dict[str, str] = {}
     for segment, codes in RFM_SEGMENT_CODES.items():
-        for code in codes.split():
+        for code in codes:
             table.setdefault(code, segment)
     return table
 

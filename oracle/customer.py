@@ -1,6 +1,5 @@
 """Customer marts."""
 
-from martloom.functions.fixed import RFM_SEGMENT_CODES
 from oracle.core import AS_OF, relation
 
 relation("m_customer_base", f"""
@@ -50,19 +49,26 @@ LEFT JOIN (SELECT customer_id, COUNT(*) AS n, MAVG(price) AS price, MSUM(freight
            FROM s_order_items JOIN s_orders USING (order_id) GROUP BY customer_id) i USING (customer_id)
 """)
 
-_seen: set[str] = set()
-_cases = []
-for _segment, _codes in RFM_SEGMENT_CODES.items():
-    _own = [c for c in _codes.split() if c not in _seen]
-    _seen.update(_own)
-    _quoted = ", ".join(f"'{c}'" for c in _own)
-    _name = _segment.replace("'", "''")
-    _cases.append(f"WHEN code IN ({_quoted}) THEN '{_name}'")
+# Segment of an RFM code (fixed values); a code listed twice belongs to the first segment, as a CASE
+# takes the first branch that holds.
+_SEGMENT_CASE = """CASE
+    WHEN code IN ('555', '554', '544', '545', '454', '455', '445') THEN 'Champions'
+    WHEN code IN ('543', '444', '435', '355', '354', '345', '344', '335') THEN 'Loyal Customers'
+    WHEN code IN ('553', '551', '552', '541', '542', '533', '532', '531') THEN 'Potential Loyalists'
+    WHEN code IN ('512', '511', '422', '421', '412', '411', '311') THEN 'New Customers'
+    WHEN code IN ('525', '524', '523', '522', '521', '515', '514', '513') THEN 'Promising'
+    WHEN code IN ('535', '534', '443', '434', '343', '334', '325', '324') THEN 'Need Attention'
+    WHEN code IN ('331', '321', '312', '221', '213', '231', '241', '251') THEN 'About to Sleep'
+    WHEN code IN ('255', '254', '245', '244', '253', '252', '243', '242', '235', '234') THEN 'At Risk'
+    WHEN code IN ('155', '154', '144', '214', '215', '115', '114', '113') THEN 'Can''t Lose Them'
+    WHEN code IN ('332', '322', '231', '241', '335', '333', '323', '322') THEN 'Hibernating'
+    WHEN code IN ('111', '112', '121', '131', '141', '151', '122', '132', '142', '152', '211', '212', '223') THEN 'Lost'
+    END"""
 
 relation("m_customer_rfm", f"""
 SELECT customer_id, customer_state, customer_region, recency, frequency, monetary, r_score, f_score,
     m_score, code AS rfm_score, r_score + f_score + m_score AS rfm_total_score,
-    CASE {' '.join(_cases)} ELSE 'Other' END AS rfm_segment, avg_order_value, is_repeat_customer
+    {_SEGMENT_CASE.replace('END', "ELSE 'Other' END")} AS rfm_segment, avg_order_value, is_repeat_customer
 FROM (SELECT *, concat(r_score, f_score, m_score) AS code FROM (
     SELECT customer_id, customer_state, customer_region, recency_days AS recency,
         total_orders AS frequency, total_revenue AS monetary, avg_order_value, is_repeat_customer,

@@ -1,13 +1,23 @@
 """Report statements over the mart relations, by report key."""
 
-from martloom.functions.fixed import RFM_ACTIONS, RFM_DEFAULT_ACTION
 
 
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_ACTIONS = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in RFM_ACTIONS.items())
+# Recommended action of each RFM segment (fixed values).
+_ACTIONS = """WHEN 'Champions' THEN 'Reward them. They are your best customers.'
+    WHEN 'Loyal Customers' THEN 'Upsell higher value products. Engage them.'
+    WHEN 'Potential Loyalists' THEN 'Offer membership/loyalty program.'
+    WHEN 'New Customers' THEN 'Provide on-boarding support, build relationship.'
+    WHEN 'Promising' THEN 'Create brand awareness, offer free trials.'
+    WHEN 'Need Attention' THEN 'Make limited time offers, recommend products.'
+    WHEN 'About to Sleep' THEN 'Share valuable resources, recommend popular products.'
+    WHEN 'At Risk' THEN 'Send personalized emails, offer renewals, provide helpful resources.'
+    WHEN 'Can''t Lose Them' THEN 'Win them back via renewals or newer products, reach out proactively.'
+    WHEN 'Hibernating' THEN 'Offer other products and special discounts. Recreate brand value.'
+    WHEN 'Lost' THEN 'Revive interest with reach out campaign, ignore otherwise.'"""
 
 _CHURN = "COUNT(*) AS customers, YES(is_churned) AS churned, RATE(is_churned) AS churn_rate_pct"
 _UNIT = "FROM m_unit_economics WHERE segmentation_type"
@@ -37,7 +47,7 @@ REPORT_SQL = {
         WHERE rfm_segment IN ('Champions', 'Loyal Customers', 'Potential Loyalists', 'Can''t Lose Them', 'At Risk') GROUP BY 1""",
     "customer_rfm_6": f"""SELECT rfm_segment, COUNT(*) AS customers, TOT(monetary) AS revenue, AVGR(recency, 0) AS avg_recency,
         AVGR(frequency, 1) AS avg_frequency, MEAN(monetary) AS avg_monetary,
-        CASE rfm_segment {_ACTIONS} ELSE {_q(RFM_DEFAULT_ACTION)} END AS recommended_action FROM m_customer_rfm GROUP BY rfm_segment""",
+        CASE rfm_segment {_ACTIONS} ELSE 'Analyze further.' END AS recommended_action FROM m_customer_rfm GROUP BY rfm_segment""",
     "customer_rfm_7": "SELECT customer_region, rfm_segment, COUNT(*) AS customers, TOT(monetary) AS revenue FROM m_customer_rfm GROUP BY 1, 2",
     # customer_ltv
     "customer_ltv_1": """SELECT COUNT(*) AS total_customers, MEAN(total_revenue) AS avg_clv, RND(quantile_disc(total_revenue, 0.5), 2) AS median_clv,
