@@ -1,11 +1,5 @@
 """Report statements over the mart relations, by report key."""
 
-
-
-def _q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 # Recommended action of each RFM segment (fixed values).
 _ACTIONS = """WHEN 'Champions' THEN 'Reward them. They are your best customers.'
     WHEN 'Loyal Customers' THEN 'Upsell higher value products. Engage them.'
