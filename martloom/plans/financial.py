@@ -87,8 +87,6 @@ def mart_geographic_performance(ltv: DataFrame) -> DataFrame:
         rnd(F.avg("customer_lifespan_days")).alias("avg_customer_lifespan_days"),
         rnd(F.avg("orders_per_month")).alias("avg_orders_per_month"),
     )
-    states = with_group_quantile(states, ltv, ["customer_state", "customer_region"], "total_revenue",
-                                 "median_ltv", digits=2)
     everything = Window.partitionBy()
 
     def rank(c: str) -> Column:
@@ -108,7 +106,7 @@ def mart_geographic_performance(ltv: DataFrame) -> DataFrame:
         rnd(F.avg("avg_ltv").over(everything), 6).alias("_mean_ltv"),
     )
     rich = F.col("avg_ltv") >= F.col("_mean_ltv")
-    return ranked.select(
+    out = ranked.select(
         *[c for c in ranked.columns if c != "_mean_ltv"],
         rnd(ratio("total_customers", F.col("total_revenue") / 1000000.0)).alias(
             "customers_per_million_revenue"),
@@ -120,6 +118,9 @@ def mart_geographic_performance(ltv: DataFrame) -> DataFrame:
         .when((F.col("repurchase_rate") >= 10) | rich, "Medium Potential")
         .otherwise("Low Potential").alias("growth_potential"),
     )
+    # Exact medians per state, joined once the windows over states are taken.
+    return with_group_quantile(out, ltv, ["customer_state", "customer_region"], "total_revenue", "median_ltv",
+                               digits=2)
 
 
 def mart_revenue_summary(facts: DataFrame) -> DataFrame:
