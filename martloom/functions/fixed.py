@@ -102,4 +102,17 @@ CLUSTER_RECOMMENDATIONS = {
         "Personalized discounts to encourage return",
         "Retargeting ads on social media",
     ),
+    # Our own actions for the two names the exports do not cover.
+    "High Value Loyal": (
+        "Early access to new products",
+        "Tiered loyalty rewards",
+        "Dedicated service contact",
+        "Invitations to give product feedback",
+    ),
+    "Regular": (
+        "Bundles that raise the order value",
+        "Reminders timed to the usual purchase interval",
+        "Points for every repeat purchase",
+        "Cross-selling from related categories",
+    ),
 }

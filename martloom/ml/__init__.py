@@ -51,7 +51,7 @@ def _vectors(w):
 def _profiles(w):
     def build():
         vectors = _vectors(w)
-        return clusters.profiles(clusters.fit(vectors).transform(vectors))
+        return clusters.profiles(clusters.kmeans_assign(vectors)[0])
 
     return w.keep("cluster_profiles", build)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,56 @@ def fit(vectors: DataFrame, k: int = 5):
     return KMeans(k=k, seed=SEED, maxIter=50, featuresCol="features", predictionCol="cluster").fit(vectors)
 
 
+def _distance(point: Column, centre: list[float]) -> Column:
+    """Squared Euclidean distance of an array column to a fixed centre."""
+    return F.aggregate(F.zip_with(point, F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b)),
+                       F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _nearest(point: Column, centres: list[list[float]]) -> Column:
+    """Index of the nearest centre; ties go to the lower index."""
+    ranked = F.array(*[F.struct(_distance(point, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
+    return F.array_min(ranked)["i"]
+
+
+def farthest_first(points: DataFrame, k: int) -> list[list[float]]:
+    """k seeds: the point farthest from the origin of the scaled space, then again and again the
+    point farthest from its nearest seed; ties go to the smallest customer_id. One aggregate pass
+    per seed, and only the seeds reach the driver."""
+    seeds: list[list[float]] = []
+    for _ in range(k):
+        near = [_distance(F.col("v"), c) for c in seeds] or [_distance(F.col("v"), [0.0] * len(points.first()["v"]))]
+        gap = F.least(*near) if len(near) > 1 else near[0]
+        best = points.agg(F.max_by("v", F.struct(gap, -F.col("customer_id"))).alias("v")).first()
+        if best is None or best.v is None or list(best.v) in seeds:
+            break
+        seeds.append(list(best.v))
+    return seeds
+
+
+def kmeans_assign(vectors: DataFrame, k: int = 5, max_iter: int = 50) -> tuple[DataFrame, list[list[float]]]:
+    """``(vectors with cluster, centres)``: Lloyd steps from farthest-first seeds, in DataFrame
+    expressions, until no centre moves or ``max_iter`` steps; a centre without points stays. The
+    result does not depend on partitioning or on a random start."""
+    points = settled(vectors.withColumn("v", vector_to_array("features")))
+    if points.limit(1).count() == 0:
+        return points.withColumn("cluster", F.lit(None).cast("int")).drop("v"), []
+    centres = farthest_first(points.select("customer_id", "v"), k)
+    width = len(centres[0])
+    for _ in range(max_iter):
+        means = points.select(_nearest(F.col("v"), centres).alias("c"), "v").groupBy("c").agg(
+            # Exact decimal sums: the centres do not depend on how partitions are merged.
+            *[F.avg(F.col("v")[j].cast("decimal(30,18)")).cast("double").alias(f"m{j}") for j in range(width)]
+        ).collect()
+        moved = [list(c) for c in centres]
+        for r in means:
+            moved[r.c] = [r[f"m{j}"] for j in range(width)]
+        if moved == centres:
+            break
+        centres = moved
+    return points.withColumn("cluster", _nearest(F.col("v"), centres)).drop("v"), centres
+
+
 def elbow(vectors: DataFrame, ks: range = range(2, 9)) -> DataFrame:
     """Within-cluster cost and silhouette for several k."""
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
@@ -95,7 +146,7 @@ def priorities(profile: DataFrame) -> DataFrame:
 
 
 def recommendations(profile: DataFrame) -> DataFrame:
-    """One row per cluster name and recommended action; names without actions give no row."""
+    """One row per cluster name and recommended action; every cluster name has actions."""
     table = F.create_map(*[e for k, v in CLUSTER_RECOMMENDATIONS.items()
                            for e in (F.lit(k), F.array(*map(F.lit, v)))])
     return profile.select("cluster_name").distinct().select(

@@ -105,7 +105,7 @@ def test_clusters(layers):
 
 def test_cluster_recommendations(spark):
     named = spark.createDataFrame([("At Risk",), ("At Risk",), ("Regular",)], "cluster_name string")
-    assert clusters.recommendations(named).count() == 4
+    assert clusters.recommendations(named).count() == 8  # both names have four actions
 
 
 def test_stratified_split_has_an_exact_quota_per_label(spark):
@@ -151,3 +151,39 @@ def test_roc_points_equal_sql_and_auc_equals_pair_counting(spark):
     pairs = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     assert churn.exact_auc(scored) == pytest.approx(pairs, abs=1e-12)
     assert churn.exact_auc(scored.where("is_churned = 0")) is None
+
+
+def test_kmeans_is_deterministic_and_its_assignment_is_stated_in_sql(spark):
+    import random
+
+    import duckdb
+    from pyspark.ml.feature import VectorAssembler
+
+    rnd_ = random.Random(7)
+    rows = [(i, cx + rnd_.gauss(0, 0.3), cy + rnd_.gauss(0, 0.3))
+            for i, (cx, cy) in enumerate([(0, 0), (5, 5), (-4, 6)] * 40)]
+    rows += [(500, 9.0, 9.0), (501, 9.0, 9.0)]  # a tie for the farthest point: the smaller id is the seed
+    df = spark.createDataFrame(rows, "customer_id long, x double, y double")
+    vectors = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(df)
+    a, centres = clusters.kmeans_assign(vectors, k=4)
+    b, again = clusters.kmeans_assign(vectors.repartition(5), k=4)
+    assert centres == again
+    got = {r.customer_id: r.cluster for r in a.collect()}
+    assert got == {r.customer_id: r.cluster for r in b.collect()}
+    assert len(set(got.values())) == 4
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (customer_id BIGINT, x DOUBLE, y DOUBLE)")
+    con.executemany("INSERT INTO p VALUES (?, ?, ?)", rows)
+    con.execute("CREATE TABLE c (i INTEGER, cx DOUBLE, cy DOUBLE)")
+    con.executemany("INSERT INTO c VALUES (?, ?, ?)", [(i, c[0], c[1]) for i, c in enumerate(centres)])
+    want = dict(con.sql("""SELECT customer_id, arg_min(i, ((x - cx) * (x - cx) + (y - cy) * (y - cy), i))
+                           FROM p, c GROUP BY customer_id""").fetchall())
+    assert got == want
+    assert clusters.farthest_first(a.withColumn("v", F.array("x", "y")), 1) == [[9.0, 9.0]]
+
+
+def test_every_cluster_name_has_recommendations(spark):
+    names = ["High Value Loyal", "High Value One-Time", "Regular", "At Risk"]
+    profile = spark.createDataFrame([(n,) for n in names], "cluster_name string")
+    got = clusters.recommendations(profile).groupBy("cluster_name").count().collect()
+    assert {r.cluster_name: r["count"] for r in got} == {n: 4 for n in names}
