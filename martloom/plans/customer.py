@@ -32,7 +32,7 @@ from martloom.operators.ranking import (
     value_profile,
     with_ntile,
 )
-from martloom.operators.sequence import most_frequent, sequence_within
+from martloom.operators.sequence import distinct_count, most_frequent, sequence_within
 from martloom.operators.storage import settled
 from martloom.plans.common import categorised, completed
 
@@ -73,15 +73,15 @@ def mart_customer_base(
         F.count_if(_is_late()).alias("delayed_orders"),
         F.avg(F.when(arrived.isNotNull(), late_days)).alias("avg_delay_days"),
     )
-    # Both distinct counts in one pass: Spark first reduces to (customer, product) and
-    # (customer, seller) rows, which also spreads a large customer.
+    # Distinct products and sellers each as a dedup followed by a count (map-side combined), so
+    # item rows are never tripled by an Expand and a large customer is spread by its pairs.
     bought = items.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_items_purchased"),
         from_cents(F.sum(cents("price"))).alias("spent_on_items"),
         from_cents(F.sum(cents("freight_value"))).alias("freight"),
-        F.count_distinct("product_id").alias("products"),
-        F.count_distinct("seller_id").alias("sellers"),
-    )
+    ).join(distinct_count(items, "customer_id", "product_id", "products"), "customer_id", "left").join(
+        distinct_count(items, "customer_id", "seller_id", "sellers"), "customer_id", "left"
+    ).withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("products", "sellers")})
     joined = customers.join(per_customer, "customer_id").join(bought, "customer_id", "left")
 
     def zero(c: Column | str) -> Column:
