@@ -114,6 +114,11 @@ def model_results(w):
     return churn.model_results(_models(w))
 
 
+@model_query("churn_feature_importance_all")
+def feature_importance_all(w):
+    return churn.importance_table(_models(w), _best(w))
+
+
 @model_query("churn_feature_importance")
 def feature_importance(w):
     return churn.feature_importance(_models(w), _best(w))

@@ -405,12 +405,16 @@ def best_model(m: ChurnModels) -> str:
     return model_results(m).orderBy(F.desc("roc_auc"), "model").first()["model"]
 
 
-def feature_importance(m: ChurnModels, name: str, k: int = 15) -> DataFrame:
+def importance_table(m: ChurnModels, name: str) -> DataFrame:
+    """The importance of every slot of the model's input (one row a slot, as many as the model has)."""
     weights = m.models[name].featureImportances.toArray()
-    spark = m.prepared.sparkSession
-    table = spark.createDataFrame(
+    return m.prepared.sparkSession.createDataFrame(
         [(n, float(v)) for n, v in zip(m.slots, weights)], "feature string, importance double")
-    return table.orderBy(F.desc("importance"), "feature").limit(k)
+
+
+def feature_importance(m: ChurnModels, name: str, k: int = 15) -> DataFrame:
+    """The report of the ``k`` most important slots."""
+    return importance_table(m, name).orderBy(F.desc("importance"), "feature").limit(k)
 
 
 def roc_points(scored: DataFrame, score: str = "churn_probability", label: str = "is_churned") -> DataFrame:
