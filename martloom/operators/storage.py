@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Folder named by ``spark.checkpoint.dir``, qualified with its file system's scheme (so that
+    writers outside Spark, such as pyarrow, open the same shared folder); a temporary one only in
+    local mode."""
+    import posixpath
+
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
-        return configured
+        # Spark qualifies the folder and adds a folder of its own below it.
+        return posixpath.dirname(sc.getCheckpointDir())
     current = sc.getCheckpointDir()
     if current is None:
         if not sc.master.startswith("local"):

@@ -85,3 +85,10 @@ def test_checked_csv_sets_every_fault_apart(spark, tmp_path):
     assert got == {"r2": "review_score: not int: five", None: "review_id: missing", "r4": "fields: not 7",
                    "r5": "fields: not 7", "r6": "review_creation_date: not timestamp_ntz: yesterday"}
     assert all(r.file.endswith("reviews.csv") and r.record for r in rejects.collect())
+
+
+def test_shared_folder_is_qualified(spark):
+    from martloom.operators.storage import shared_dir
+
+    folder = shared_dir(spark)
+    assert folder.startswith("file:") or "://" in folder
