@@ -14,18 +14,21 @@ the smallest label. With no usable training rows every text is ``und``. Rows of
 learned from. Extra columns are ignored.
 """
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+# Letters are Unicode letters (category L); marks stay with them inside n-grams. Everything else,
+# numbers of every kind included, is a space.
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 _UNIT = 1e6
 
 
@@ -66,7 +69,9 @@ class Bundler:
         return found
 
     def counts(self, text: str | None) -> Counter:
-        letters = _OTHER.sub(" ", (text or "").lower()).strip()
+        if not text or not _LETTER.search(text):
+            return Counter()
+        letters = _OTHER.sub(" ", text.lower()).strip()
         if not letters:
             return Counter()
         padded = f" {letters} "
@@ -153,15 +158,15 @@ def language_of(spark: SparkSession, model: Model, text: str = "text") -> F.Colu
                 score[lettered] = np.clip(cosines.max(axis=1), 0, 1)
             yield pd.DataFrame({"lang_pred": label, "score": score})
 
-    return F.pandas_udf(apply, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(apply, "lang_pred string, score double")(text)
 
 
 def has_letters():
     """Whether a text has letters, as language ID sees them."""
     def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bool(_OTHER.sub(" ", (t or "").lower()).strip())).astype(bool)
+        return texts.map(lambda t: bool(t) and _LETTER.search(t) is not None).astype(bool)
 
-    return F.pandas_udf(apply, "boolean", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(apply, "boolean")
 
 
 def held_out() -> F.Column:

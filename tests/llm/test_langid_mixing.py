@@ -1,4 +1,6 @@
 import re
+
+from pyspark.sql import functions as F
 import zlib
 
 from martloom.llm import langid, mixing
@@ -27,6 +29,18 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(docs.where("lang is null")).collect()} == {"und"}
 
 
+def test_numbers_of_every_kind_are_not_letters(spark):
+    rows = [(1, "²", None), (2, "½ ¾", None), (3, "① Ⅷ ٣ 12", None), (4, "the the the", "en"), (5, "die die", "de"),
+            (6, "x²", None)] + [(10 + i, "the cat and the dog" if i % 2 else "der hund und die katze", "en" if i % 2 else "de")
+                               for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[6][0] != "und"
+    letters = {r.doc_id for r in docs.where(langid.has_letters()(F.col("text"))).collect()}
+    assert letters == {4, 5, 6} | set(range(10, 22))
+
+
 def check_mix(rows, docs):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sums = {}
