@@ -14,6 +14,7 @@ the smallest label. With no usable training rows every text is ``und``. Rows of
 learned from. Extra columns are ignored.
 """
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,9 @@ UNKNOWN = "und"
 # numbers of every kind included, is a space.
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
+# In ASCII texts the letters are a to z after lower-casing; the same rule, by a faster pattern.
+_ASCII_OTHER = re.compile(r"[^a-z]+")
+_NONE = np.zeros(0, np.int64)
 _UNIT = 1e6
 
 
@@ -40,60 +44,95 @@ class Profile:
     grams: int = 3
     seed: int = 17
 
+    def __post_init__(self):
+        # An n-gram is numbered by its code points, 21 bits each, in one 64-bit integer.
+        if not 1 <= self.grams <= 3:
+            raise ValueError("n-grams have 1 to 3 letters")
+
 
 class Bundler:
     """Vectors of texts. Letters' and n-grams' vectors that were used are kept up to a bound."""
 
     def __init__(self, profile: Profile, kept: int = 1 << 14):
         self.p, self.kept = profile, kept
-        self.letters: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
+        self.letters: dict[tuple[str, int], np.ndarray] = {}
+        self.grams: dict[int, np.ndarray] = {}
 
-    def letter(self, c: str) -> np.ndarray:
-        found = self.letters.get(c)
+    def letter(self, c: str, place: int = 0) -> np.ndarray:
+        """The letter's vector rotated by ``place``."""
+        found = self.letters.get((c, place))
         if found is None:
+            if len(self.letters) >= self.kept:
+                self.letters.clear()
             draw = np.random.default_rng((self.p.seed, ord(c)))
             found = draw.integers(0, 2, self.p.dims, dtype=np.int8) * np.int8(2) - np.int8(1)
-            self.letters[c] = found
+            found = np.roll(found, place)
+            self.letters[(c, place)] = found
         return found
 
-    def gram(self, g: str) -> np.ndarray:
+    def gram(self, g: int) -> np.ndarray:
+        """Vector of an n-gram given by its number (code points, 21 bits each, first one highest)."""
         found = self.grams.get(g)
         if found is None:
             if len(self.grams) >= self.kept:
                 self.grams.clear()
-            found = np.ones(self.p.dims, np.int8)
-            for place, c in enumerate(g):
-                found = found * np.roll(self.letter(c), place)
+            n = self.p.grams
+            points = [(g >> (21 * (n - 1 - place))) & 0x1FFFFF for place in range(n)]
+            found = self.letter(chr(points[0]))
+            for place in range(1, n):
+                found = found * self.letter(chr(points[place]), place)
             self.grams[g] = found
         return found
 
-    def counts(self, text: str | None) -> Counter:
-        if not text or not _LETTER.search(text):
-            return Counter()
-        letters = _OTHER.sub(" ", text.lower()).strip()
+    def numbers(self, text: str | None) -> np.ndarray:
+        """Numbers of the text's n-grams, one per place (lower case, every run of other characters one
+        space, one space at each end)."""
+        if not text:
+            return _NONE
+        if text.isascii():
+            letters = _ASCII_OTHER.sub(" ", text.lower()).strip()
+        elif _LETTER.search(text):
+            letters = _OTHER.sub(" ", text.lower()).strip()
+        else:
+            return _NONE
         if not letters:
-            return Counter()
-        padded = f" {letters} "
+            return _NONE
+        points = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.int64)
         n = self.p.grams
-        return Counter(map("".join, zip(*(padded[k:] for k in range(n))))) if n > 1 else Counter(padded)
+        last = len(points) - n + 1
+        if last <= 0:
+            return _NONE
+        found = points[:last].copy()
+        for place in range(1, n):
+            found = (found << 21) | points[place:last + place]
+        return found
+
+    def counts(self, text: str | None) -> Counter:
+        """How often each n-gram number occurs in the text."""
+        return Counter(self.numbers(text).tolist())
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """One unit vector per text, all zeros without letters."""
         out = np.zeros((len(texts), self.p.dims), np.float64)
         for start in range(0, len(texts), 64):
-            every = [self.counts(t) for t in texts[start:start + 64]]
-            known = sorted(set().union(*every))
-            for at in range(0, len(known), 4096):
-                part = {g: i for i, g in enumerate(known[at:at + 4096])}
-                weights = np.zeros((len(every), len(part)), np.float32)
-                for row, c in enumerate(every):
-                    hits = [(part[g], n) for g, n in c.items() if g in part]
-                    if hits:
-                        columns, numbers = zip(*hits)
-                        weights[row, list(columns)] = numbers
-                vectors = np.stack([self.gram(g) for g in part]).astype(np.float32)
-                out[start:start + 64] += weights @ vectors
+            every = [self.numbers(t) for t in texts[start:start + 64]]
+            flat = np.concatenate(every)
+            if not len(flat):
+                continue
+            rows = np.repeat(np.arange(len(every)), [len(e) for e in every])
+            # Entries sorted by n-gram, so that each block of 4096 n-grams is one slice.
+            order = np.argsort(flat)
+            ordered, rows = flat[order], rows[order]
+            first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            known, inverse = ordered[first], np.cumsum(first) - 1
+            cuts = np.searchsorted(inverse, np.arange(0, len(known) + 4096, 4096))
+            for block, at in enumerate(range(0, len(known), 4096)):
+                lo, hi = cuts[block], cuts[block + 1]
+                width = min(4096, len(known) - at)
+                weights = np.bincount(rows[lo:hi] * width + (inverse[lo:hi] - at),
+                                      minlength=len(every) * width).reshape(len(every), width)
+                vectors = np.stack([self.gram(int(g)) for g in known[at:at + width]]).astype(np.float32)
+                out[start:start + 64] += weights.astype(np.float32) @ vectors
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 
