@@ -187,3 +187,19 @@ def test_every_cluster_name_has_recommendations(spark):
     profile = spark.createDataFrame([(n,) for n in names], "cluster_name string")
     got = clusters.recommendations(profile).groupBy("cluster_name").count().collect()
     assert {r.cluster_name: r["count"] for r in got} == {n: 4 for n in names}
+
+
+def test_correlations_of_pairs_in_a_narrow_aggregate(spark, monkeypatch):
+    rows = [(1.0, 2, 5.0, 3.0), (2.0, 4, None, 3.0), (4.0, 9, 1.0, 3.0), (None, 1, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double")
+    widths = []
+    plain = churn.pearson
+    monkeypatch.setattr(churn, "pearson", lambda x, y: widths.append(1) or plain(x, y))
+    found = churn.correlations(df, ["a", "b", "c", "d"])
+    assert widths == [1]
+    want = df.agg(*[plain(x, y).alias(f"{x}{y}") for x, y in found]).first()
+    assert len(found) == 6 and found["d", "a"] is None
+    for x, y in found:
+        assert found[x, y] == (want[f"{x}{y}"] and pytest.approx(want[f"{x}{y}"], abs=1e-12))
+    empty = churn.correlations(df.limit(0), ["a", "b"])
+    assert empty == {("b", "a"): None}
