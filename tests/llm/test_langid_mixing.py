@@ -91,3 +91,23 @@ def test_documents_without_labels_stay(spark):
     docs = spark.createDataFrame([(d, t, None) for d, t in rows], "doc_id long, text string, lang string")
     assert sorted((r.doc_id or 0) for r in langid.recognised(docs).collect()) == [0, 1, 2]
     assert langid.recognised(docs.limit(0)).collect() == []
+
+
+def test_mix_moves_no_text_it_does_not_return(spark, monkeypatch):
+    held = []
+    keep = mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: held.append(df.columns) or keep(df, name))
+    rows = [(k % 700, "w " * (k % 7), "ab"[k % 2]) for k in range(1500)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    narrow = mixing.mix(docs, keep=["doc_id"])
+    assert not any("text" in columns for columns in held)
+    assert "text" not in narrow._jdf.queryExecution().executedPlan().toString()
+    whole = mixing.mix(docs)
+    assert sum("text" in columns for columns in held) == 1
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, whole.select(narrow.columns).collect()))
+
+
+def test_sizes_of_many_documents_are_dealt_into_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_BUCKET", 16)
+    rows = [(k, f"a{k} b", "x" if k % 3 else "y") for k in range(300)] + [(k, "c d e", None) for k in range(40)]
+    check_mix(rows, spark.createDataFrame(rows, "doc_id long, text string, source string"))
