@@ -1,5 +1,7 @@
+import random
 import re
 
+from martloom.llm import jaccard
 from martloom.llm.jaccard import jaccard_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,3 +44,45 @@ def test_edges(spark):
     known = [r for r in rows if r[0] is not None]
     assert sorted(map(tuple, jaccard_groups(docs, 3, 90).collect())) == brute(known, 3, 90)
     assert jaccard_groups(docs.limit(0), 3, 90).collect() == []
+
+
+def near_copies(n):
+    base = [f"b{i}" for i in range(80)]
+    return [" ".join(base[:40] + [f"e{k}"] * (k % 2) + base[40:]) + " tail" * (k % 3) for k in range(n)]
+
+
+def test_a_group_of_near_copies_is_not_expanded_into_pairs(spark, monkeypatch):
+    """Candidates stay below two per representative, and no table holds whole sets."""
+    texts = near_copies(120) + [" ".join(f"o{k}x{i}" for i in range(30)) for k in range(30)]
+    rows = list(enumerate(texts, 3)) + [(5, texts[7]), (500, texts[1])]
+    sizes, widths, keep = {}, {}, jaccard.stored
+
+    def held(df, name):
+        out = keep(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        widths[name] = max([0] + [len(r[c]) for c in out.columns if c in ("tokens", "lead") for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", held)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_groups(docs, 3, 80).collect())) == brute(rows, 3, 80)
+    assert sizes["stars"][0] + sizes["rest"][0] <= 2 * sizes["reps"][0]
+    assert max(widths.values()) <= 3 + 82 // 5
+
+
+def test_chance_words_make_no_candidates(spark, monkeypatch):
+    """Texts that share a few shingles at random are not compared."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice("abcdefghijklmnop") for _ in range(60))) for k in range(150)]
+    rows += [(k + 150, t.replace(" a", " z", 1)) for k, t in rows[:20]]
+    pairs, keep = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: (pairs.append((name, df.count())), keep(df, name))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_groups(docs, 3, 85).collect())) == brute(rows, 3, 85)
+    assert sum(n for name, n in pairs if name in ("stars", "rest")) <= 40
+
+
+def test_slot_counts_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c"), (None, "z z z"), (4, None)], "doc_id long, text string")
+    counts = jaccard.slot_counts(docs, 3)
+    assert len(counts) <= 1 << 18 and counts.sum() == 3
