@@ -42,3 +42,25 @@ def test_plain_words_and_ids_of_sliced_batches(limit):
         parts = [read(b.column("text")) for b in cut(limit)]
         assert [x for p, _ in parts for x in p.tolist()] == whole.tolist()
         assert [n for _, c in parts for n in c.tolist()] == counts.tolist()
+
+
+def test_folded_pieces_have_the_tokenizers_ids_and_the_vocabulary_is_read_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from martloom.llm.token_files import encoder_of
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["A.", "B,,", "ẖ H̱ Ä.", "<|ENDOFTEXT|> <|endoftext|>.", "don't DON'T. it's,", ". , .,", "a1. 12, É. x Y.",
+             None, "", "  Q.  ", "K. ſ İ.", "\x00. a\x00,"]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    encoder = encoder_of(path, 2)
+    for _ in range(2):
+        ids, n = encoder.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in want for i in t] and n.tolist() == [len(t) for t in want]
+    assert encoder_of(path, 2) is encoder
+    # Case and a closing mark make no new entry.
+    before = len(encoder.known)
+    encoder.encode(pa.array(["x. X, X x, X."]))
+    assert len(encoder.known) == before
