@@ -48,3 +48,33 @@ def test_index_counts():
     runs = [tuple(text[i:i + 4]) for i in at]
     assert [runs.index(r) for r in runs] == index.earliest(low, high).tolist()
     assert [runs.count(r) for r in runs] == (high - low).tolist()
+
+
+def test_places_travel_before_words(spark, monkeypatch):
+    from martloom.llm import substrings
+
+    draw = np.random.default_rng(8)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(d, " ".join(f"w{x}" for x in draw.integers(0, 10**9, 300)) + (f" {shared} e{d}" if d < 3 else "")) for d in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names, held = [], []
+
+    def keep(df, name, real=substrings.stored):
+        out = real(df, name)
+        names.append(name)
+        held.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(substrings, "stored", keep)
+    assert sorted(map(tuple, without_repeats(docs).collect())) == brute(rows, 20)
+    # About 30 segments of each text occur once; neither they nor any words are stored.
+    assert names == ["places"] and "words" not in held[0][0] and 0 < held[0][1] < 60
+
+
+def test_equal_rows_and_crowded_keys(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "x b c d e f y"), (3, "b c d e"), (None, "z c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [("1", 0), ("1", 0), ("2", 5), ("3", 4), ("None", 5)]
+    for heavy in (0, 1 << 18):
+        got = without_repeats(docs, size=3, grain=2, heavy=heavy).collect()
+        assert sorted((str(r.doc_id), r.n_removed) for r in got) == want
