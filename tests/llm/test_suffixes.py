@@ -49,3 +49,39 @@ def test_edges(spark):
     assert rows_of(without_repeats(docs, size=8, grain=3)) == brute(rows, 8)
     assert rows_of(without_repeats(docs, size=8, grain=3, heavy=0)) == brute(rows, 8)
     assert without_repeats(docs.limit(0)).collect() == []
+
+
+def test_places_travel_before_bytes(spark, monkeypatch):
+    from martloom.llm import suffixes
+
+    draw = np.random.default_rng(8)
+    text = lambda n: bytes(draw.integers(33, 126, n).tolist()).decode()
+    shared = text(900)
+    rows = [(d, text(3000) + (shared + text(5) if d < 3 else "")) for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names, held = [], []
+
+    def keep(df, name, real=suffixes.stored):
+        out = real(df, name)
+        names.append(name)
+        held.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", keep)
+    assert rows_of(without_repeats(docs)) == brute(rows, 400)
+    # Segments that occur once and all bytes stay out of the stored table.
+    assert names == ["places"] and "part" not in held[0][0] and 0 < held[0][1] < 60
+
+
+def test_only_runs_that_can_repeat_are_transformed(monkeypatch):
+    from martloom.llm import suffixes
+
+    seen = []
+    monkeypatch.setattr(suffixes, "repeated_suffixes", lambda s, n, real=repeated_suffixes: seen.append(s) or real(s, n))
+    strings = [b"0123456789abc", b"x123456789abz", b"y3456789aQQQQ", b"ppppqrstuvwxy", b"1ppqrstuvw_34"]
+    row, start, stop = suffixes.repeated_runs(strings, 6, np.array([1, 1, 1, 2, 2]))
+    got = {(r, i) for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist()) for i in range(a, b - 5)}
+    count = Counter(s[i:i + 6] for s in strings for i in range(len(s) - 5))
+    assert got == {(k, i) for k, s in enumerate(strings) for i in range(len(s) - 5) if count[s[i:i + 6]] > 1}
+    # Equal runs go in as one, a key with one run not at all.
+    assert seen == [[b"3456789a", b"123456789ab"]] or [sorted(x) for x in seen] == [[b"123456789ab", b"3456789a"]]
