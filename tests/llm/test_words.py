@@ -64,3 +64,10 @@ def test_folded_pieces_have_the_tokenizers_ids_and_the_vocabulary_is_read_once()
     before = len(encoder.known)
     encoder.encode(pa.array(["x. X, X x, X."]))
     assert len(encoder.known) == before
+
+
+def test_text_batches_hold_two_megabytes():
+    texts = pa.array(["x" * 100_000] * 60 + [None, "y" * 5_000_000])
+    sizes = [sum(len(t or "") for t in b.column("text").to_pylist())
+             for b in text_batches([pa.RecordBatch.from_arrays([texts], ["text"])])]
+    assert sum(sizes) == 11_000_000 and max(sizes[:-1]) <= (2 << 20) + 100_000
