@@ -86,3 +86,12 @@ def test_slot_counts_are_bounded(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c"), (None, "z z z"), (4, None)], "doc_id long, text string")
     counts = jaccard.slot_counts(docs, 3)
     assert len(counts) <= 1 << 18 and counts.sum() == 3
+
+
+def test_slot_counts_reach_the_driver_as_columns(spark, monkeypatch):
+    """2^18 row objects would take some 50 MB of the driver for a moment."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d")], "doc_id long, text string")
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(type(docs), name, lambda *a: (_ for _ in ()).throw(AssertionError("row objects")))
+    counts = jaccard.slot_counts(docs, 3)
+    assert counts.sum() == 5 and counts.max() == 2
