@@ -1,5 +1,8 @@
 import gzip
 import hashlib
+import io
+
+import pytest
 
 from martloom.llm import warc
 from martloom.llm.queries import QUERIES
@@ -116,3 +119,23 @@ def test_long_http_headers_without_payload(spark, tmp_path):
         rows = warc.read_warc(spark, str(tmp_path), payload=payload).collect()
         assert sorted((r.target_uri, r.payload_length) for r in rows) == sorted(
             (f"http://{k}", 50_000 if k < 5 else 0) for k in range(6) for _ in range(2))
+
+
+@pytest.mark.parametrize("offset", [-24, -2, -1, 0, 1])
+@pytest.mark.parametrize("own", [True, False])
+def test_members_that_begin_at_the_end_of_the_buffer(offset, own):
+    def packed(k, payload):
+        data = warc.record({"record_type": "response", "record_id": f"urn:page:{k}", "payload": payload,
+                            "payload_length": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()})
+        return warc.member(data, 0) if own else gzip.compress(data, 0)
+
+    step = warc.Window(None).step
+    size = step - 1000
+    for _ in range(3):  # lengths written as text and stored blocks shift the end a little
+        size += step + offset - len(packed(0, b"a" * size))
+    first = packed(0, b"a" * size)
+    assert len(first) == step + offset
+    file = io.BytesIO(first + packed(1, b"b" * 2000) + packed(2, b""))
+    found = list(warc.records(file, lambda row: True, True))
+    assert [(r[1], r[-2], r[-1]) for r in found] == [
+        ("urn:page:0", size, b"a" * size), ("urn:page:1", 2000, b"b" * 2000), ("urn:page:2", 0, b"")]
