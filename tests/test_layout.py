@@ -4,8 +4,12 @@ import re
 
 from pyspark.sql import functions as F
 
+import pytest
+
+from martloom.operators import sequence
 from martloom.operators.sequence import dealt
 from martloom.plans import common
+from martloom.plans.warehouse import Warehouse
 
 
 def test_partitions_grow_with_the_rows(spark):
@@ -32,3 +36,39 @@ def test_distinct_products_and_first_payment(layers):
     got = facts.select("order_id", "products", "items", "max_payment", "opening_method")
     assert want.count() > 0
     assert want.select("order_id", "p", "n", "v", "t").exceptAll(got).count() == 0
+
+
+@pytest.fixture
+def bucketed(spark, layers, monkeypatch):
+    """The layers as a table far above 150,000 rows has them: no broadcasts, many partitions."""
+    monkeypatch.setattr(sequence, "PER_TASK", 300)
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, -1)
+    yield Warehouse(spark, layers.raw, layers.cfg)
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.unset(name)
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+
+
+@pytest.mark.parametrize("name", ["payments", "order_items"])
+def test_rows_below_orders_are_shuffled_once(bucketed, name):
+    # A semi join would run below the dealing and shuffle the rows twice.
+    bucketed.stg("orders")
+    assert exchanges(bucketed.staging_plan(name)) == ["order_id"]
+
+
+def test_order_facts_read_buckets_without_a_shuffle(bucketed, layers):
+    tables = [bucketed.stg(t) for t in ("orders", "payments", "reviews", "order_items")]
+    assert len(set(f.rsplit("_", 1)[-1] for f in tables[0].inputFiles())) == sequence.parts(
+        bucketed.spark, bucketed.order_rows()) > 4
+    facts = common.order_facts(*tables, bucketed.order_rows())
+    assert exchanges(facts) == ["order_id"]  # the reviews
+    assert exchanges(common.payment_facts(tables[1], tables[0])) == []
+    for name in ("orders", "items", "payments"):
+        got, want = bucketed.facts(name), layers.facts(name)
+        assert got.schema == want.schema
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
